@@ -45,18 +45,26 @@ def _fine_cell(x: Column, lo: Column, hi: Column) -> Column:
 
 def _covers_rank(before: Column, count: Column) -> Column:
     """Whether ranks ``[before, before + count)`` meet the two ranks around the position."""
-    position = F.col("_pos")
-    return (before + count > F.floor(position)) & (before <= F.ceil(position))
+    return (before + count > F.floor("_pos")) & (before <= F.ceil("_pos"))
 
 
-def _same(left: DataFrame, right: DataFrame, names: Mapping[str, str]) -> Column:
-    # Null-safe, so NULL group keys stay groups and no IS NOT NULL filter is
-    # inferred below the shared pre-aggregation (that would break its reuse).
-    tests = [left[a].eqNullSafe(right[b]) for a, b in names.items()]
-    joined = tests[0]
-    for test in tests[1:]:
-        joined = joined & test
-    return joined
+def _running_before(before: Column, partition: Sequence[str], order: str) -> Column:
+    """Rank of the first value of a cell: ``before`` plus the counts of the earlier cells."""
+    upto = Window.partitionBy(*partition).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return before + F.sum("_count").over(upto) - F.col("_count")
+
+
+def _inside(rows: DataFrame, located: DataFrame, keys: Sequence[str], small: bool) -> DataFrame:
+    """Rows in the located coarse cells.
+
+    The comparison is null-safe, so NULL keys stay groups; it also infers no IS NOT
+    NULL filter, which would make the three reads of ``rows`` differ and keep
+    Spark from sharing the shuffle under them.
+    """
+    same = F.col("_coarse").eqNullSafe(F.col("_cell"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return rows.join(F.broadcast(located) if small else located, same)
 
 
 def distribution(
@@ -80,19 +88,19 @@ def distribution(
     bound (calendar days, months); otherwise the cell filter is a plain join that
     Spark plans by size and splits when skewed.
     """
-    keys = list(keys)
-    extra = dict(sums or {})
-    times = F.lit(1).cast("bigint") if weight is None else F.col(weight)
+    keys, extra = list(keys), dict(sums or {})
+    x, times, count = F.col("_x"), F.col("_times"), F.col("_count")
+    one = F.lit(1).cast("bigint") if weight is None else F.col(weight)
+    number = F.col(value).cast("double")
     base = rows.filter(F.col(value).isNotNull()).select(
         *keys,
-        F.col(value).cast("double").alias("_x"),
-        times.alias("_times"),
+        number.alias("_x"),
+        one.alias("_times"),
+        _coarse_cell(number).alias("_coarse"),
         *[column.alias(name) for name, column in extra.items()],
     )
-    base = base.withColumn("_coarse", _coarse_cell(F.col("_x")))
 
     # Step 1: coarse cells, carrying the moments of the whole group along.
-    x, times = F.col("_x"), F.col("_times")
     cells = base.groupBy(*keys, "_coarse").agg(
         F.sum(times).alias("_count"),
         F.min(x).alias("_lo"),
@@ -101,8 +109,6 @@ def distribution(
         F.sum(x * x * times).alias("_squares"),
         *[F.sum(name).alias(name) for name in extra],
     )
-    group = Window.partitionBy(*keys)
-    upto = group.orderBy("_coarse").rowsBetween(Window.unboundedPreceding, 0)
     moments = {
         "n": F.sum("_count"),
         "total": F.sum("_sum"),
@@ -111,79 +117,64 @@ def distribution(
         "highest": F.max("_hi"),
         **{name: F.sum(name) for name in extra},
     }
+    group = Window.partitionBy(*keys)
+    carried = ["_pos", *[f"_g_{name}" for name in moments]]
     located = (
-        cells.withColumn("_before", F.sum("_count").over(upto) - F.col("_count"))
-        .withColumns({f"_g_{name}": agg.over(group) for name, agg in moments.items()})
-        .withColumn("_pos", F.lit(float(q)) * (F.col("_g_n") - 1))
-        .filter(_covers_rank(F.col("_before"), F.col("_count")))
-        .select(
+        cells.select(
             *[F.col(k).alias(f"_k_{k}") for k in keys],
-            F.col("_coarse").alias("_cell"), "_lo", "_hi", "_before", "_pos",
-            *[f"_g_{name}" for name in moments],
+            F.col("_coarse").alias("_cell"),
+            "_count", "_lo", "_hi",
+            _running_before(F.lit(0), keys, "_coarse").alias("_before"),
+            (F.lit(float(q)) * (F.sum("_count").over(group) - 1)).alias("_pos"),
+            *[agg.over(group).alias(f"_g_{name}") for name, agg in moments.items()],
         )
+        .filter(_covers_rank(F.col("_before"), count))
+        .drop("_count")
     )
-    carried = ["_before", "_pos", *[f"_g_{name}" for name in moments]]
 
     # Step 2: fine cells inside the located coarse cells.
     narrow = base.select(*keys, "_x", "_times", "_coarse")
-    match = {**{k: f"_k_{k}" for k in keys}, "_coarse": "_cell"}
-    inside = _join(narrow, located, match, broadcast_targets).withColumn(
-        "_fine", _fine_cell(F.col("_x"), F.col("_lo"), F.col("_hi"))
-    )
-    by_cell = Window.partitionBy(*keys, "_coarse")
     fine = (
-        inside.groupBy(*keys, "_coarse", "_fine")
+        _inside(narrow, located, keys, broadcast_targets)
+        .groupBy(*keys, "_coarse", _fine_cell(x, F.col("_lo"), F.col("_hi")).alias("_fine"))
         .agg(
-            F.sum("_times").alias("_count"),
-            F.max(F.struct("_lo", "_hi")).alias("_range"),
-            *[F.max(c).alias(c) for c in carried],
-        )
-        .withColumn(
-            "_before",
-            F.col("_before") - F.col("_count")
-            + F.sum("_count").over(by_cell.orderBy("_fine").rowsBetween(Window.unboundedPreceding, 0)),
+            F.sum(times).alias("_count"),
+            *[F.max(c).alias(c) for c in ("_lo", "_hi", "_before", *carried)],
         )
-        .filter(_covers_rank(F.col("_before"), F.col("_count")))
         .select(
             *[F.col(k).alias(f"_k_{k}") for k in keys],
-            F.col("_coarse").alias("_cell"), F.col("_fine").alias("_part"),
-            F.col("_range._lo").alias("_lo"), F.col("_range._hi").alias("_hi"), *carried,
+            F.col("_coarse").alias("_cell"),
+            "_fine", "_count", "_lo", "_hi", *carried,
+            _running_before(F.col("_before"), [*keys, "_coarse"], "_fine").alias("_before"),
         )
+        .filter(_covers_rank(F.col("_before"), count))
+        .drop("_count")
     )
 
     # Step 3: distinct values inside the located fine cells.
     values = (
-        _join(narrow, fine, match, broadcast_targets)
-        .filter(_fine_cell(F.col("_x"), F.col("_lo"), F.col("_hi")) == F.col("_part"))
-        .groupBy(*keys, "_coarse", "_part", "_x")
-        .agg(F.sum("_times").alias("_count"), *[F.max(c).alias(c) for c in carried])
+        _inside(narrow, fine, keys, broadcast_targets)
+        .filter(_fine_cell(x, F.col("_lo"), F.col("_hi")) == F.col("_fine"))
+        .groupBy(*keys, "_coarse", "_fine", "_x")
+        .agg(F.sum(times).alias("_count"), *[F.max(c).alias(c) for c in ("_before", *carried)])
+        .select(
+            *keys, "_x", "_count", *carried,
+            _running_before(F.col("_before"), [*keys, "_coarse", "_fine"], "_x").alias("_before"),
+        )
+        .filter(_covers_rank(F.col("_before"), count))
     )
-    running = Window.partitionBy(*keys, "_coarse", "_part").orderBy("_x")
-    values = values.withColumn(
-        "_before",
-        F.col("_before") - F.col("_count")
-        + F.sum("_count").over(running.rowsBetween(Window.unboundedPreceding, 0)),
-    ).filter(_covers_rank(F.col("_before"), F.col("_count")))
-
     picked = values.groupBy(*keys).agg(
-        F.min("_x").alias("_low"), F.max("_x").alias("_high"),
-        *[F.max(c).alias(c) for c in carried if c != "_before"],
+        F.min(x).alias("_low"), F.max(x).alias("_high"), *[F.max(c).alias(c) for c in carried]
     )
-    step = F.col("_pos") - F.floor(F.col("_pos"))
-    interpolated = F.col("_low") + (F.col("_high") - F.col("_low")) * step
+    low, high = F.col("_low"), F.col("_high")
+    between = low + (high - low) * (F.col("_pos") - F.floor("_pos"))
     return picked.select(
         *keys,
         *[F.col(f"_g_{name}").alias(name) for name in moments],
-        F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise(interpolated).alias(quantile),
+        F.when(low == high, low).otherwise(between).alias(quantile),
     )
 
 
-def _join(rows: DataFrame, located: DataFrame, names: Mapping[str, str], small: bool) -> DataFrame:
-    right = F.broadcast(located) if small else located
-    joined = rows.join(right, _same(rows, located, names), "inner")
-    return joined.drop(*[name for name in names.values()])
-
-
 def exact_quantile(
     rows: DataFrame,
     keys: Sequence[str],

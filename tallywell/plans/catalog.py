@@ -29,9 +29,13 @@ class ReportTables:
         # Stored timestamps carry no zone and are read as UTC.
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.spark, self.sf_dir = spark, sf_dir
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return read_table(self.spark, f"{self.sf_dir}/{name}.parquet")
+        """One DataFrame per table, so its footer is read once per query."""
+        if name not in self._tables:
+            self._tables[name] = read_table(self.spark, f"{self.sf_dir}/{name}.parquet")
+        return self._tables[name]
 
     def events(self, source: str) -> DataFrame:
         return star.recording_events(self.table("events"), source)
@@ -45,6 +49,10 @@ class ReportTables:
     def _people(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         return self.table("orders"), self.table("customer"), self.table("nation")
 
+    # A month range given here prunes the scan, so the operators need not filter
+    # again: their filter would reach one of the quantile steps only and keep the
+    # steps from sharing a shuffle.
+
     def monthly(self, source: str, start=None, end=None, median: bool = True) -> DataFrame:
         return star.recordings_monthly(*self._people(), source, start, end, median)
 
@@ -190,7 +198,7 @@ def numeric_totals_by_month(t: ReportTables) -> DataFrame:
     return totals.numeric_totals_by_month(tables, S.FIRST_MONTH, S.LAST_MONTH)
 
 
-@query(default=4)
+@query(places={"stddev_duration_sec": 4}, default=5)
 def numeric_totals_of_recordings(t: ReportTables) -> DataFrame:
     """Every numeric column of the recordings tables, means and medians included."""
     tables = {
@@ -223,23 +231,23 @@ def ordered_sample(t: ReportTables) -> DataFrame:
 # --- durations --------------------------------------------------------------------------
 
 
-@query()
+@query(default=8)
 def max_hours_by_month_agg(t: ReportTables) -> DataFrame:
     return durations.max_hours_by_month_agg(t.monthly("audio", median=False))
 
 
-@query()
+@query(default=8)
 def max_hours_by_month_agg_filtered(t: ReportTables) -> DataFrame:
     monthly = t.monthly("video", S.FIRST_MONTH, S.AFTER_LAST_MONTH, median=False)
     return durations.max_hours_by_month_agg(monthly, S.FIRST_MONTH, S.LAST_MONTH)
 
 
-@query()
+@query(default=8)
 def max_hours_by_month_events(t: ReportTables) -> DataFrame:
     return durations.max_hours_by_month_events(t.events("audio"))
 
 
-@query()
+@query(default=8)
 def max_hours_by_day_events(t: ReportTables) -> DataFrame:
     return durations.max_hours_by_month_events(t.events("audio"), "DAY")
 
@@ -247,63 +255,63 @@ def max_hours_by_day_events(t: ReportTables) -> DataFrame:
 @query(default=4)
 def mean_approx_median_by_month(t: ReportTables) -> DataFrame:
     monthly = t.monthly("audio", S.FIRST_MONTH, S.AFTER_LAST_MONTH)
-    return durations.mean_approx_median_by_month(monthly, S.FIRST_MONTH, S.LAST_MONTH)
+    return durations.mean_approx_median_by_month(monthly)
 
 
 @query(default=4)
 def mean_exact_median_by_month(t: ReportTables) -> DataFrame:
     monthly = t.monthly("audio", S.FIRST_MONTH, S.AFTER_LAST_MONTH)
-    return durations.mean_exact_median_by_month(monthly, S.FIRST_MONTH, S.LAST_MONTH)
+    return durations.mean_exact_median_by_month(monthly)
 
 
 @query(default=4)
 def mean_median_aggregate_form(t: ReportTables) -> DataFrame:
     monthly = t.monthly("video", S.FIRST_MONTH, S.AFTER_LAST_MONTH)
-    return durations.mean_median_aggregate_form(monthly, S.FIRST_MONTH, S.LAST_MONTH)
+    return durations.mean_median_aggregate_form(monthly)
 
 
-@query(default=4)
+@query(default=6)
 def mean_weighted_vs_unweighted(t: ReportTables) -> DataFrame:
     monthly = t.monthly("video", S.FIRST_MONTH, S.AFTER_LAST_MONTH)
-    return durations.mean_weighted_vs_unweighted(monthly, S.FIRST_MONTH, S.LAST_MONTH)
+    return durations.mean_weighted_vs_unweighted(monthly)
 
 
-@query(default=4)
+@query(default=6)
 def weighted_mean_two_sources(t: ReportTables) -> DataFrame:
     return durations.weighted_mean_by_source({s: t.monthly(s, median=False) for s in ("audio", "video")})
 
 
-@query()
+@query(default=7)
 def event_stats_by_month(t: ReportTables) -> DataFrame:
     return durations.event_stats_by_month(t.events("video"))
 
 
-@query()
+@query(default=7)
 def event_stats_by_day(t: ReportTables) -> DataFrame:
     return durations.event_stats_by_month(t.events("video"), "DAY")
 
 
-@query()
+@query(default=7)
 def event_stats_by_hour(t: ReportTables) -> DataFrame:
     return durations.event_stats_by_month(t.events("audio"), "HOUR")
 
 
-@query()
+@query(default=7)
 def event_stats_side_by_side(t: ReportTables) -> DataFrame:
     return durations.event_stats_side_by_side({s: t.events(s) for s in ("audio", "video")}, "DAY")
 
 
-@query()
+@query(default=8)
 def events_vs_agg_delta(t: ReportTables) -> DataFrame:
     return durations.events_vs_agg_delta(t.events("audio"), t.monthly("audio"))
 
 
-@query()
+@query(default=8)
 def events_vs_agg_candidates(t: ReportTables) -> DataFrame:
     return durations.events_vs_agg_candidates(t.events("audio"), t.monthly("audio"))
 
 
-@query(default=4)
+@query(places={"avg_ms": 1}, default=4)
 def unit_ratio_check(t: ReportTables) -> DataFrame:
     monthly = t.monthly("video", S.FIRST_MONTH, S.AFTER_LAST_MONTH, median=False)
     return durations.unit_ratio_check(
@@ -406,7 +414,7 @@ def histogram_scenarios(t: ReportTables) -> DataFrame:
     return _scenarios(t)
 
 
-@query(default=12)
+@query(default=10)
 def scenario_scores(t: ReportTables) -> DataFrame:
     return reconcile.scenario_scores(_scenarios(t), _target(t))
 
@@ -416,7 +424,7 @@ def scenario_deltas(t: ReportTables) -> DataFrame:
     return reconcile.scenario_deltas(_scenarios(t), _target(t))
 
 
-@query(default=12)
+@query(default=10)
 def cutoff_sweep_hourly(t: ReportTables) -> DataFrame:
     return sweeps.cutoff_sweep(t.events("audio"), _target(t), "HOUR")
 
@@ -427,18 +435,18 @@ def cutoff_sweep_hourly_deltas(t: ReportTables) -> DataFrame:
     return sweeps.best_cutoff_deltas(best, _target(t))
 
 
-@query(default=12)
+@query(default=10)
 def cutoff_sweep_detail(t: ReportTables) -> DataFrame:
     return sweeps.cutoff_sweep_detail({"audio": t.events("audio")}, _target(t), "DAY")
 
 
-@query(default=12)
+@query(default=10)
 def cutoff_sweep_sources(t: ReportTables) -> DataFrame:
     sources = {"events": t.events("audio"), "view": t.view("video")}
     return sweeps.cutoff_sweep_sources(sources, _target(t), "HOUR")
 
 
-@query(default=12)
+@query(default=10)
 def cutoff_refine_seconds(t: ReportTables) -> DataFrame:
     target = _target(t, S.SECOND_CUTOFF)
     return sweeps.cutoff_refine(t.events("audio"), target, S.REFINE_START, S.REFINE_END, "SECOND")
@@ -447,7 +455,7 @@ def cutoff_refine_seconds(t: ReportTables) -> DataFrame:
 def _series(t: ReportTables) -> tuple[DataFrame, DataFrame]:
     """Median series against itself with one month shifted in the target and one missing in ours."""
     monthly = t.monthly("video", S.FIRST_MONTH, S.AFTER_LAST_MONTH)
-    series = durations.mean_exact_median_by_month(monthly, S.FIRST_MONTH, S.LAST_MONTH).select(
+    series = durations.mean_exact_median_by_month(monthly).select(
         F.date_format("month", "yyyy-MM").alias("key"), F.col("median_duration_sec").alias("value")
     )
     got = series.filter(F.col("key") != S.MISSING_KEY).select("key", F.col("value").alias("got"))

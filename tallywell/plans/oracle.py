@@ -215,9 +215,12 @@ def _transfer_totals(by_month: bool, places: int) -> str:
     return " UNION ALL ".join(parts)
 
 
-def _recording_totals(places: int = 4) -> str:
+def _recording_totals(places: int = 5) -> str:
     doubles = ("total", "min", "max", "mean", "stddev", "median")
-    sums = ", ".join(f"{_r(f'sum({d}_duration_sec)', places)} AS {d}_duration_sec" for d in doubles)
+    sums = ", ".join(
+        f"{_r(f'sum({d}_duration_sec)', 4 if d == 'stddev' else places)} AS {d}_duration_sec"
+        for d in doubles
+    )
     return " UNION ALL ".join(
         f"SELECT '{s}_recording' AS source, strftime(month, '%Y-%m') AS month, "
         f"CAST(sum(num_tracks) AS BIGINT) AS num_tracks, {sums}, "
@@ -265,7 +268,7 @@ _STATS = ("max_duration_sec", "max_duration_hour", "mean_duration_sec", "median_
 
 
 def _shown_event_stats(source: str, period: str, pattern: str = "%Y-%m-%d") -> str:
-    columns = ", ".join(f"{_r(c)} AS {c}" for c in _STATS)
+    columns = ", ".join(f"{_r(c, 7)} AS {c}" for c in _STATS)
     return (
         f"SELECT strftime(period, '{pattern}') AS period, {columns} "
         f"FROM ({_event_stats(source, period)}) AS s"
@@ -273,7 +276,7 @@ def _shown_event_stats(source: str, period: str, pattern: str = "%Y-%m-%d") -> s
 
 
 def _side_by_side() -> str:
-    columns = ", ".join(f"{_r(f'{s}.{c}')} AS {s}_{c}" for s in ("audio", "video") for c in _STATS)
+    columns = ", ".join(f"{_r(f'{s}.{c}', 7)} AS {s}_{c}" for s in ("audio", "video") for c in _STATS)
     return f"""
       WITH audio AS ({_event_stats('audio', 'day')}), video AS ({_event_stats('video', 'day')})
       SELECT strftime(coalesce(audio.period, video.period), '%Y-%m-%d') AS period, {columns}
@@ -295,10 +298,10 @@ def _events_vs_agg_delta() -> str:
                           avg(median_duration_sec / 3600.0) AS median_a
                    FROM ({_monthly('audio')}) AS m GROUP BY month)
       SELECT {_text('month')} AS month,
-             {_r('mean_h')} AS mean_hour_events, {_r('mean_a')} AS mean_hour_agg,
-             {_r('mean_h - mean_a')} AS mean_delta_hours,
-             {_r('median_h')} AS median_hour_events, {_r('median_a')} AS median_hour_agg,
-             {_r('median_h - median_a')} AS median_delta_hours
+             {_r('mean_h', 8)} AS mean_hour_events, {_r('mean_a', 8)} AS mean_hour_agg,
+             {_r('mean_h - mean_a', 8)} AS mean_delta_hours,
+             {_r('median_h', 8)} AS median_hour_events, {_r('median_a', 8)} AS median_hour_agg,
+             {_r('median_h - median_a', 8)} AS median_delta_hours
       FROM ev FULL OUTER JOIN agg USING (month)"""
 
 
@@ -313,11 +316,11 @@ def _events_vs_agg_candidates() -> str:
                           max(median_duration_sec) / 3600.0 AS median_max,
                           min(median_duration_sec) / 3600.0 AS median_min
                    FROM ({_monthly('audio')}) AS m GROUP BY month)
-      SELECT {_text('month')} AS month, {_r('mean_h')} AS mean_events,
-             {_r('mean_weighted')} AS mean_weighted, {_r('mean_unweighted')} AS mean_unweighted,
-             {_r('median_h')} AS median_events, {_r('median_avg')} AS median_avg,
-             {_r('median_median')} AS median_median, {_r('median_max')} AS median_max,
-             {_r('median_min')} AS median_min
+      SELECT {_text('month')} AS month, {_r('mean_h', 8)} AS mean_events,
+             {_r('mean_weighted', 8)} AS mean_weighted, {_r('mean_unweighted', 8)} AS mean_unweighted,
+             {_r('median_h', 8)} AS median_events, {_r('median_avg', 8)} AS median_avg,
+             {_r('median_median', 8)} AS median_median, {_r('median_max', 8)} AS median_max,
+             {_r('median_min', 8)} AS median_min
       FROM ev FULL OUTER JOIN agg USING (month)"""
 
 
@@ -328,7 +331,7 @@ def _unit_ratio() -> str:
     )
     return (
         f"SELECT strftime(month, '%Y-%m') AS month, {_r(mean, 4)} AS avg_sec, "
-        f"{_r(f'{mean} / 3600.0', 4)} AS avg_hr, {_r(f'{mean} * 1000.0', 4)} AS avg_ms, "
+        f"{_r(f'{mean} / 3600.0', 4)} AS avg_hr, {_r(f'{mean} * 1000.0', 1)} AS avg_ms, "
         f"{_r(f'{mean} / 1000.0', 4)} AS avg_if_ms, {_r(ratio, 4)} AS ratio_to_target "
         f"FROM ({_monthly('video')}) AS m WHERE {_RANGE} GROUP BY month"
     )
@@ -458,8 +461,8 @@ def _shown_sweep(source: str, table: str, where: str = "") -> str:
     bins = ", ".join(f"bin_{i}" for i in range(1, N_BINS + 1))
     return (
         f"SELECT {source} strftime(period, {stamp}) AS include_through, "
-        f"strftime(cutoff, {stamp}) AS cutoff_exclusive, {_r('sse', 12)} AS sse, "
-        f"{_r('max_abs_diff', 12)} AS max_abs_diff, total_rows, {bins} FROM {table} {where}"
+        f"strftime(cutoff, {stamp}) AS cutoff_exclusive, {_r('sse', 10)} AS sse, "
+        f"{_r('max_abs_diff', 10)} AS max_abs_diff, total_rows, {bins} FROM {table} {where}"
     )
 
 
@@ -543,33 +546,33 @@ def oracle_sql() -> dict[str, str]:
             + f", num_lossless FROM ({_monthly('audio')}) AS m ORDER BY m.month, country LIMIT 10"
         ),
         "max_hours_by_month_agg": (
-            f"SELECT {_text()} AS month, {_r('max(max_duration_sec) / 3600.0')} AS max_duration_hour "
+            f"SELECT {_text()} AS month, {_r('max(max_duration_sec) / 3600.0', 8)} AS max_duration_hour "
             f"FROM ({_monthly('audio')}) AS m GROUP BY 1"
         ),
         "max_hours_by_month_agg_filtered": (
-            f"SELECT {_text()} AS month, {_r('max(max_duration_sec) / 3600.0')} AS max_duration_hour "
+            f"SELECT {_text()} AS month, {_r('max(max_duration_sec) / 3600.0', 8)} AS max_duration_hour "
             f"FROM ({_monthly('video')}) AS m WHERE {_RANGE} GROUP BY 1"
         ),
         "max_hours_by_month_events": (
             "SELECT strftime(date_trunc('month', ts), '%Y-%m-%d') AS period, "
-            f"{_r('max(duration_sec) / 3600.0')} AS max_duration_hour FROM ({_events('audio')}) AS e GROUP BY 1"
+            f"{_r('max(duration_sec) / 3600.0', 8)} AS max_duration_hour FROM ({_events('audio')}) AS e GROUP BY 1"
         ),
         "max_hours_by_day_events": (
             "SELECT strftime(ts, '%Y-%m-%d') AS period, "
-            f"{_r('max(duration_sec) / 3600.0')} AS max_duration_hour FROM ({_events('audio')}) AS e GROUP BY 1"
+            f"{_r('max(duration_sec) / 3600.0', 8)} AS max_duration_hour FROM ({_events('audio')}) AS e GROUP BY 1"
         ),
         "mean_approx_median_by_month": _mean_median("audio", "quantile_disc(median_duration_sec, 0.5)"),
         "mean_exact_median_by_month": _mean_median("audio", "quantile_cont(median_duration_sec, 0.5)"),
         "mean_median_aggregate_form": _mean_median("video", "median(median_duration_sec)"),
         "mean_weighted_vs_unweighted": (
-            f"SELECT strftime(month, '%Y-%m') AS month, {_r('avg(mean_duration_sec)', 4)} AS mean_avg, "
-            f"{_r('sum(total_duration_sec) / sum(num_tracks)', 4)} AS mean_weighted, "
-            f"{_r('quantile_cont(median_duration_sec, 0.5)', 4)} AS median_p50 "
+            f"SELECT strftime(month, '%Y-%m') AS month, {_r('avg(mean_duration_sec)', 6)} AS mean_avg, "
+            f"{_r('sum(total_duration_sec) / sum(num_tracks)', 6)} AS mean_weighted, "
+            f"{_r('quantile_cont(median_duration_sec, 0.5)', 6)} AS median_p50 "
             f"FROM ({_monthly('video')}) AS m WHERE {_RANGE} GROUP BY 1"
         ),
         "weighted_mean_two_sources": " UNION ALL ".join(
             f"SELECT '{s}' AS source, strftime(month, '%Y-%m') AS month, "
-            f"{_r('sum(total_duration_sec) / sum(num_tracks)', 4)} AS mean_duration_sec "
+            f"{_r('sum(total_duration_sec) / sum(num_tracks)', 6)} AS mean_duration_sec "
             f"FROM ({_monthly(s)}) AS m GROUP BY 2"
             for s in ("audio", "video")
         ),
@@ -602,8 +605,8 @@ def oracle_sql() -> dict[str, str]:
             f"FROM ({_scenario_rows()}) AS s"
         ),
         "scenario_scores": (
-            f"WITH {_SCENARIO_GRID} SELECT scenario, {_r('sum(delta * delta)', 12)} AS sse, "
-            f"{_r('max(abs(delta))', 12)} AS max_abs_diff FROM grid GROUP BY scenario"
+            f"WITH {_SCENARIO_GRID} SELECT scenario, {_r('sum(delta * delta)', 10)} AS sse, "
+            f"{_r('max(abs(delta))', 10)} AS max_abs_diff FROM grid GROUP BY scenario"
         ),
         "scenario_deltas": (
             f"WITH {_SCENARIO_GRID} SELECT scenario, bin, {_r('pct', 9)} AS pct, "
