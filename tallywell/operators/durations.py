@@ -134,6 +134,7 @@ def event_stats_by_month(events: DataFrame, grain: str = "MONTH") -> DataFrame:
         rows,
         ["period"],
         "duration_sec",
+        moments=("n", "total", "highest"),
         quantile="median_duration_sec",
         broadcast_targets=broadcastable_grain(grain),
     )

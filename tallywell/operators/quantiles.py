@@ -67,26 +67,37 @@ def _inside(rows: DataFrame, located: DataFrame, keys: Sequence[str], small: boo
     return rows.join(F.broadcast(located) if small else located, same)
 
 
+# Moments of a whole group, as window aggregates over its coarse cells.
+MOMENTS = {
+    "n": "sum(_count)",
+    "total": "sum(_sum)",
+    "total_squares": "sum(_squares)",
+    "lowest": "min(_lo)",
+    "highest": "max(_hi)",
+}
+
+
 def distribution(
     rows: DataFrame,
     keys: Sequence[str],
     value: str,
     q: float = 0.5,
     weight: str | None = None,
+    moments: Sequence[str] = tuple(MOMENTS),
     sums: Mapping[str, Column] | None = None,
     quantile: str = "quantile",
     broadcast_targets: bool = False,
 ) -> DataFrame:
-    """Per group: ``n, total, total_squares, lowest, highest``, ``sums`` and the exact quantile.
+    """Per group: the asked ``moments``, the ``sums`` and the exact quantile.
 
     NULL values are ignored; a group without values is left out. ``weight``
     counts how often a row stands for its value (rows already grouped by value).
-    ``sums`` are extra sum-able columns of ``rows``. The moments come from the
-    first step, so they cost no extra pass.
+    ``sums`` are extra sum-able columns of ``rows``. Moments and sums come from
+    the first step, so they cost no extra pass.
 
     ``broadcast_targets`` may be set when the number of groups has a proven
-    bound (calendar days, months); otherwise the cell filter is a plain join that
-    Spark plans by size and splits when skewed.
+    bound (calendar periods, months by nation); otherwise the cell filter is a
+    plain join that Spark plans by size and splits when skewed.
     """
     keys, extra = list(keys), dict(sums or {})
     x, times, count = F.col("_x"), F.col("_times"), F.col("_count")
@@ -99,50 +110,45 @@ def distribution(
         _coarse_cell(number).alias("_coarse"),
         *[column.alias(name) for name, column in extra.items()],
     )
+    renamed_keys = [F.col(k).alias(f"_k_{k}") for k in keys]
 
     # Step 1: coarse cells, carrying the moments of the whole group along.
     cells = base.groupBy(*keys, "_coarse").agg(
-        F.sum(times).alias("_count"),
-        F.min(x).alias("_lo"),
-        F.max(x).alias("_hi"),
-        F.sum(x * times).alias("_sum"),
-        F.sum(x * x * times).alias("_squares"),
+        F.expr("sum(_times) AS _count"),
+        F.expr("min(_x) AS _lo"),
+        F.expr("max(_x) AS _hi"),
+        F.expr("sum(_x * _times) AS _sum"),
+        F.expr("sum(_x * _x * _times) AS _squares"),
         *[F.sum(name).alias(name) for name in extra],
     )
-    moments = {
-        "n": F.sum("_count"),
-        "total": F.sum("_sum"),
-        "total_squares": F.sum("_squares"),
-        "lowest": F.min("_lo"),
-        "highest": F.max("_hi"),
-        **{name: F.sum(name) for name in extra},
-    }
     group = Window.partitionBy(*keys)
-    carried = ["_pos", *[f"_g_{name}" for name in moments]]
+    over_group = {m: F.expr(MOMENTS[m]) for m in moments} | {name: F.sum(name) for name in extra}
+    carried = ["_pos", *[f"_g_{name}" for name in over_group]]
     located = (
         cells.select(
-            *[F.col(k).alias(f"_k_{k}") for k in keys],
+            *renamed_keys,
             F.col("_coarse").alias("_cell"),
             "_count", "_lo", "_hi",
             _running_before(F.lit(0), keys, "_coarse").alias("_before"),
             (F.lit(float(q)) * (F.sum("_count").over(group) - 1)).alias("_pos"),
-            *[agg.over(group).alias(f"_g_{name}") for name, agg in moments.items()],
+            *[agg.over(group).alias(f"_g_{name}") for name, agg in over_group.items()],
         )
         .filter(_covers_rank(F.col("_before"), count))
         .drop("_count")
     )
 
-    # Step 2: fine cells inside the located coarse cells.
+    # Step 2: fine cells inside the located coarse cells. What is carried is the
+    # same for every row of a coarse cell, so any aggregate keeps it.
     narrow = base.select(*keys, "_x", "_times", "_coarse")
     fine = (
         _inside(narrow, located, keys, broadcast_targets)
         .groupBy(*keys, "_coarse", _fine_cell(x, F.col("_lo"), F.col("_hi")).alias("_fine"))
         .agg(
-            F.sum(times).alias("_count"),
-            *[F.max(c).alias(c) for c in ("_lo", "_hi", "_before", *carried)],
+            F.expr("sum(_times) AS _count"),
+            *[F.expr(f"max({c}) AS {c}") for c in ("_lo", "_hi", "_before", *carried)],
         )
         .select(
-            *[F.col(k).alias(f"_k_{k}") for k in keys],
+            *renamed_keys,
             F.col("_coarse").alias("_cell"),
             "_fine", "_count", "_lo", "_hi", *carried,
             _running_before(F.col("_before"), [*keys, "_coarse"], "_fine").alias("_before"),
@@ -156,7 +162,10 @@ def distribution(
         _inside(narrow, fine, keys, broadcast_targets)
         .filter(_fine_cell(x, F.col("_lo"), F.col("_hi")) == F.col("_fine"))
         .groupBy(*keys, "_coarse", "_fine", "_x")
-        .agg(F.sum(times).alias("_count"), *[F.max(c).alias(c) for c in ("_before", *carried)])
+        .agg(
+            F.expr("sum(_times) AS _count"),
+            *[F.expr(f"max({c}) AS {c}") for c in ("_before", *carried)],
+        )
         .select(
             *keys, "_x", "_count", *carried,
             _running_before(F.col("_before"), [*keys, "_coarse", "_fine"], "_x").alias("_before"),
@@ -164,14 +173,13 @@ def distribution(
         .filter(_covers_rank(F.col("_before"), count))
     )
     picked = values.groupBy(*keys).agg(
-        F.min(x).alias("_low"), F.max(x).alias("_high"), *[F.max(c).alias(c) for c in carried]
+        F.min(x).alias("_low"), F.max(x).alias("_high"), *[F.expr(f"max({c}) AS {c}") for c in carried]
     )
-    low, high = F.col("_low"), F.col("_high")
-    between = low + (high - low) * (F.col("_pos") - F.floor("_pos"))
+    between = F.expr("_low + (_high - _low) * (_pos - floor(_pos))")
     return picked.select(
         *keys,
-        *[F.col(f"_g_{name}").alias(name) for name in moments],
-        F.when(low == high, low).otherwise(between).alias(quantile),
+        *[F.col(f"_g_{name}").alias(name) for name in over_group],
+        F.when(F.expr("_low = _high"), F.col("_low")).otherwise(between).alias(quantile),
     )
 
 
@@ -184,5 +192,6 @@ def exact_quantile(
     broadcast_targets: bool = False,
 ) -> DataFrame:
     """``keys`` and the exact interpolated quantile of ``value`` per group."""
-    spread = distribution(rows, keys, value, q, quantile=alias, broadcast_targets=broadcast_targets)
-    return spread.select(*keys, alias)
+    return distribution(
+        rows, keys, value, q, moments=(), quantile=alias, broadcast_targets=broadcast_targets
+    )

@@ -10,7 +10,6 @@ task orders more than one slice of the calendar.
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,7 +60,7 @@ def _counts_per_period(
     )
     return rows.groupBy("source", "period").agg(
         *[
-            F.count_if(F.col("bin_ord") == i).alias(name)
+            F.expr(f"count_if(bin_ord = {i}) AS {name}")
             for i, name in zip(bins.ordinals, _count_columns(bins))
         ]
     )
@@ -80,13 +79,17 @@ def _running(counts: DataFrame, grain: str, bins: BinSpec) -> DataFrame:
         upto = Window.partitionBy("source").orderBy("period").rowsBetween(Window.unboundedPreceding, 0)
         return counts.withColumns({c: F.sum(c).over(upto) for c in names})
 
-    sliced = counts.withColumn("slice", floor_to(F.col("period"), slice_size))
+    # Events without a time are gone, so a slice is never NULL. Saying so keeps the
+    # join from pushing a NULL filter into one of its sides, and the two sides
+    # then share the one counting pass over the events.
+    slice_start = F.coalesce(floor_to(F.col("period"), slice_size), F.lit(0).cast("bigint"))
+    sliced = counts.withColumn("slice", slice_start)
     earlier = (
         Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = (
         sliced.groupBy("source", "slice")
-        .agg(*[F.sum(c).alias(c) for c in names])
+        .agg(*[F.expr(f"sum({c}) AS {c}") for c in names])
         .select(
             F.col("source").alias("of"),
             F.col("slice").alias("at"),
@@ -99,9 +102,7 @@ def _running(counts: DataFrame, grain: str, bins: BinSpec) -> DataFrame:
     inside = sliced.withColumns({c: F.sum(c).over(upto) for c in names})
     # Both sides are hashed by (source, slice) already, so the join adds no shuffle.
     joined = inside.join(offsets, (F.col("source") == F.col("of")) & (F.col("slice") == F.col("at")))
-    return joined.select(
-        "source", "period", *[(F.col(c) + F.col(f"before_{c}")).alias(c) for c in names]
-    )
+    return joined.selectExpr("source", "period", *[f"{c} + before_{c} AS {c}" for c in names])
 
 
 def _scored(running: DataFrame, target: DataFrame, grain: str, bins: BinSpec) -> DataFrame:
@@ -113,30 +114,26 @@ def _scored(running: DataFrame, target: DataFrame, grain: str, bins: BinSpec) ->
             for i, label in zip(bins.ordinals, bins.all_labels)
         ]
     )
-    total = reduce(lambda a, b: a + b, [F.col(c) for c in names])
-    size = F.lit(_size(grain)).cast("bigint")
-    scored = (
+    deltas = [
+        f"coalesce(coalesce(try_divide({name}, total_rows), 0.0D) - goal_{i}, 0.0D) AS delta_{i}"
+        for i, name in zip(bins.ordinals, names)
+    ]
+    squares = " + ".join(f"delta_{i} * delta_{i}" for i in bins.ordinals)
+    largest = ", ".join(f"abs(delta_{i})" for i in bins.ordinals)
+    return (
         running.crossJoin(F.broadcast(goals))
-        .withColumn("total_rows", total)
-        .withColumns(
-            {
-                f"delta_{i}": F.coalesce(F.try_divide(F.col(name), F.col("total_rows")), F.lit(0.0))
-                - F.col(f"goal_{i}")
-                for i, name in zip(bins.ordinals, names)
-            }
+        .selectExpr("*", f"{' + '.join(names)} AS total_rows")
+        .selectExpr("source", "period", "total_rows", *names, *deltas)
+        .selectExpr(
+            "source",
+            "timestamp_micros(period) AS include_through",
+            f"timestamp_micros(period + {_size(grain)}L) AS cutoff_exclusive",
+            f"{squares} AS sse",
+            f"greatest({largest}, 0.0D) AS max_abs_diff",
+            "total_rows",
+            *names,
         )
     )
-    deltas = [F.coalesce(F.col(f"delta_{i}"), F.lit(0.0)) for i in bins.ordinals]
-    squares = reduce(lambda a, b: a + b, [d * d for d in deltas])
-    return scored.select(
-        "source",
-        F.timestamp_micros("period").alias("include_through"),
-        F.timestamp_micros(F.col("period") + size).alias("cutoff_exclusive"),
-        squares.alias("sse"),
-        F.greatest(*[F.abs(d) for d in deltas]).alias("max_abs_diff"),
-        "total_rows",
-        *names,
-    )
 
 
 def _sweep(

@@ -90,17 +90,17 @@ def portable(df: DataFrame, places: Mapping[str, int] | None = None, default: in
     """
     places = places or {}
 
-    def shown(field: T.StructField) -> Column:
-        column = F.col(field.name)
+    def shown(field: T.StructField) -> str:
+        name = f"`{field.name}`"
         if isinstance(field.dataType, T.DoubleType):
-            column = F.round(column, places.get(field.name, default)) + F.lit(0.0)
-        elif isinstance(field.dataType, T.DateType):
-            column = F.date_format(column, "yyyy-MM-dd")
-        elif isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
-            column = F.date_format(column, "yyyy-MM-dd HH:mm:ss")
-        return column.alias(field.name)
-
-    return df.select(*[shown(f) for f in df.schema.fields])
+            return f"round({name}, {places.get(field.name, default)}) + 0.0D AS {name}"
+        if isinstance(field.dataType, T.DateType):
+            return f"date_format({name}, 'yyyy-MM-dd') AS {name}"
+        if isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
+            return f"date_format({name}, 'yyyy-MM-dd HH:mm:ss') AS {name}"
+        return name
+
+    return df.selectExpr(*[shown(f) for f in df.schema.fields])
 
 
 def query(places: Mapping[str, int] | None = None, default: int = 6, name: str | None = None):
