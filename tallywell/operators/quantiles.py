@@ -17,6 +17,8 @@ the rank. No task ever sees a group's rows, only its cells.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,16 +57,19 @@ def _running_before(before: Column, partition: Sequence[str], order: str) -> Col
 
 
 def _inside(rows: DataFrame, located: DataFrame, keys: Sequence[str], small: bool) -> DataFrame:
-    """Rows in the located coarse cells.
+    """Rows in the located cells: cells keep order, so their value range tells.
 
-    The comparison is null-safe, so NULL keys stay groups; it also infers no IS NOT
-    NULL filter, which would make the three reads of ``rows`` differ and keep
-    Spark from sharing the shuffle under them.
+    Small ``located`` tables are broadcast and looked up by group; otherwise the
+    coarse cell joins the shuffle key, which spreads the rows of a large group.
+    The comparisons are null-safe, so NULL keys stay groups; they also infer no
+    IS NOT NULL filter, which would make the three reads of ``rows`` differ and
+    keep Spark from sharing the shuffle under them.
     """
-    same = F.col("_coarse").eqNullSafe(F.col("_cell"))
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    return rows.join(F.broadcast(located) if small else located, same)
+    tests = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    if not small:
+        tests.append(F.col("_coarse").eqNullSafe(F.col("_cell")))
+    tests.append(F.expr("_x >= _lo AND _x <= _hi"))
+    return rows.join(F.broadcast(located) if small else located, reduce(and_, tests))
 
 
 # Moments of a whole group, as window aggregates over its coarse cells.
@@ -142,37 +147,39 @@ def distribution(
     narrow = base.select(*keys, "_x", "_times", "_coarse")
     fine = (
         _inside(narrow, located, keys, broadcast_targets)
-        .groupBy(*keys, "_coarse", _fine_cell(x, F.col("_lo"), F.col("_hi")).alias("_fine"))
+        .groupBy(*keys, "_cell", _fine_cell(x, F.col("_lo"), F.col("_hi")).alias("_fine"))
         .agg(
             F.expr("sum(_times) AS _count"),
-            *[F.expr(f"max({c}) AS {c}") for c in ("_lo", "_hi", "_before", *carried)],
+            F.expr("min(_x) AS _lo"),
+            F.expr("max(_x) AS _hi"),
+            *[F.expr(f"max({c}) AS {c}") for c in ("_before", *carried)],
         )
         .select(
             *renamed_keys,
-            F.col("_coarse").alias("_cell"),
-            "_fine", "_count", "_lo", "_hi", *carried,
-            _running_before(F.col("_before"), [*keys, "_coarse"], "_fine").alias("_before"),
+            "_cell", "_fine", "_count", "_lo", "_hi", *carried,
+            _running_before(F.col("_before"), [*keys, "_cell"], "_fine").alias("_before"),
         )
         .filter(_covers_rank(F.col("_before"), count))
         .drop("_count")
     )
 
-    # Step 3: distinct values inside the located fine cells.
-    values = (
+    # Step 3: distinct values inside the located fine cells. A group's located cells
+    # follow each other, so one running count per group covers them, and the
+    # last aggregation finds its rows already together.
+    inner = (
         _inside(narrow, fine, keys, broadcast_targets)
-        .filter(_fine_cell(x, F.col("_lo"), F.col("_hi")) == F.col("_fine"))
-        .groupBy(*keys, "_coarse", "_fine", "_x")
+        .groupBy(*keys, "_cell", "_fine", "_x")
         .agg(
             F.expr("sum(_times) AS _count"),
             *[F.expr(f"max({c}) AS {c}") for c in ("_before", *carried)],
         )
         .select(
             *keys, "_x", "_count", *carried,
-            _running_before(F.col("_before"), [*keys, "_coarse", "_fine"], "_x").alias("_before"),
+            _running_before(F.min("_before").over(group), keys, "_x").alias("_before"),
         )
         .filter(_covers_rank(F.col("_before"), count))
     )
-    picked = values.groupBy(*keys).agg(
+    picked = inner.groupBy(*keys).agg(
         F.min(x).alias("_low"), F.max(x).alias("_high"), *[F.expr(f"max({c}) AS {c}") for c in carried]
     )
     between = F.expr("_low + (_high - _low) * (_pos - floor(_pos))")
