@@ -86,14 +86,16 @@ class ReportTables:
 def portable(df: DataFrame, places: Mapping[str, int] | None = None, default: int = 6) -> DataFrame:
     """Result columns as two engines print them alike: rounded doubles, dates as text.
 
-    Adding 0.0 turns a rounded -0.0 into 0.0.
+    Adding 0.0 turns a rounded -0.0 into 0.0. Only registered queries go through
+    this; the operators return full precision.
     """
     places = places or {}
 
     def shown(field: T.StructField) -> str:
         name = f"`{field.name}`"
         if isinstance(field.dataType, T.DoubleType):
-            return f"round({name}, {places.get(field.name, default)}) + 0.0D AS {name}"
+            digits = places.get(field.name, default)
+            return f"round({name} + {S.guard(digits)}, {digits}) + 0.0D AS {name}"
         if isinstance(field.dataType, T.DateType):
             return f"date_format({name}, 'yyyy-MM-dd') AS {name}"
         if isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):

@@ -18,7 +18,7 @@ N_BINS = len(DURATION_BINS.labels)
 
 
 def _r(expression: str, places: int = 6) -> str:
-    return f"round({expression}, {places}) + 0.0"
+    return f"round(({expression}) + {S.guard(places)}, {places}) + 0.0"
 
 
 def _bin_ord(value: str) -> str:

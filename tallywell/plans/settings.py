@@ -20,3 +20,11 @@ REFINE_END = "2024-01-21 00:00:00"
 SHIFTED_KEY = "1997-03"
 MISSING_KEY = "1998-02"
 SERIES_TOLERANCE = 1e-6
+
+# Results are rounded to ``places`` decimals for comparison. Exact halves would go
+# either way on the last bit, so both sides first add this part of the last place.
+HALF_GUARD = 0.0137
+
+
+def guard(places: int) -> str:
+    return f"{HALF_GUARD * 10 ** -places:.3e}"
