@@ -52,22 +52,23 @@ class BinSpec:
     def ordinal(self, value: Column) -> Column:
         """1-based bin number of ``value`` (NULL where a bounded spec has no bin)."""
         last = len(self.labels)
-        missing = value.isNull() | F.isnan(value)
         # When branches are tried in order, so each test only needs its upper edge.
-        branches: list[tuple[Column, int | None]] = []
+        branches: list[tuple[Column, Column]] = []
         if self.null_label is not None:
-            branches.append((missing, last + 1))
+            branches.append((value.isNull() | F.isnan(value), F.lit(last + 1)))
         if self.upper is not None:
-            outside = missing | (value < F.lit(self.lower[0])) | (value >= F.lit(self.upper))
-            branches.append((outside, None))
-        branches += [(value < F.lit(edge), i) for i, edge in enumerate(self.lower[1:], start=1)]
+            outside = value.isNull() | F.isnan(value) | (value < float(self.lower[0]))
+            branches.append((outside | (value >= float(self.upper)), F.lit(None).cast("int")))
+        branches += [
+            (value < float(edge), F.lit(i)) for i, edge in enumerate(self.lower[1:], start=1)
+        ]
         if not branches:
-            return F.lit(last).cast("int")
+            return F.lit(last)
         (test, number), *rest = branches
-        chain = F.when(test, F.lit(number).cast("int"))
+        chain = F.when(test, number)
         for test, number in rest:
-            chain = chain.when(test, F.lit(number).cast("int"))
-        return chain.otherwise(F.lit(last).cast("int"))
+            chain = chain.when(test, number)
+        return chain.otherwise(F.lit(last))
 
     def label(self, ordinal: Column) -> Column:
         return F.element_at(F.array(*[F.lit(x) for x in self.all_labels]), ordinal)

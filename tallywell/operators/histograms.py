@@ -105,17 +105,17 @@ def histogram_cutoff_comparison(
 
 
 def fine_bin_counts(events: DataFrame, bins: BinSpec = FINE_BINS) -> DataFrame:
-    """``(label, lo, hi, count)`` for every bin of a bounded spec, zeros included."""
+    """``(label, lo, hi, count)`` for every bin, zeros included; an open bin ends at infinity."""
     ordinal = bins.ordinal(F.col("duration_sec"))
     highs = [*bins.lower[1:], bins.upper]
     counted = events.select(ordinal.alias("bin_ord")).agg(
-        *[F.count_if(F.col("bin_ord") == i).alias(f"n{i}") for i in range(1, len(bins.labels) + 1)]
+        *[F.expr(f"count_if(bin_ord = {i}) AS n{i}") for i in range(1, len(bins.labels) + 1)]
     )
     entries = [
         F.struct(
             F.lit(label).alias("label"),
             F.lit(float(lo)).alias("lo"),
-            F.lit(None if hi is None else float(hi)).cast("double").alias("hi"),
+            F.lit(float("inf") if hi is None else float(hi)).alias("hi"),
             F.col(f"n{i}").alias("count"),
         )
         for i, (label, lo, hi) in enumerate(zip(bins.labels, bins.lower, highs), start=1)
