@@ -5,9 +5,9 @@ month of events can be most of the table, so that does not scale. Here the
 wanted rank is located in three narrowing steps, each an ordinary grouped
 count:
 
-1. cells of about 1/4096 relative width (at most some millions for all doubles),
-2. 2**20 equal cells inside the cell the rank fell in,
-3. the distinct values inside that finer cell.
+1. cells of about 1/128 relative width (at most 181,000 for all doubles),
+2. 2**21 equal cells inside the cell the rank fell in,
+3. the distinct values inside that finer cell (at most 2**24 doubles above 1).
 
 Each step reads the rows, combines them map-side into cell counts, runs a
 running count over the cells of a group and keeps the one or two cells holding
@@ -23,9 +23,9 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CELLS_PER_E_FOLD = 4096
+CELLS_PER_E_FOLD = 128  # some thousand cells per group: small hash tables, small shuffles
 LARGEST_LOG = 1000.0  # above log1p of the largest double (709.8); infinity is put here
-FINE_CELLS = 1 << 20
+FINE_CELLS = 1 << 21
 
 
 def _coarse_cell(x: Column) -> Column:
