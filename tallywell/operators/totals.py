@@ -122,7 +122,8 @@ def numeric_totals_by_month(
 ) -> DataFrame:
     """SUM of every numeric column per table and month, both ends inclusive.
 
-    Tables without a numeric column are left out. Sums of means or medians carry no meaning; ``columns`` picks the ones that do.
+    Tables without a numeric column are left out. Sums of means or medians carry
+    no meaning; ``columns`` picks the ones that do.
     """
     parts = []
     for label, df in tables.items():
