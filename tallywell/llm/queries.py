@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywell.llm import language_id, quality
+from tallywell.llm import exact_dedup, language_id, quality
 from tallywell.llm.common import crc_mod, documents, labels
 
 QUALITY_THRESHOLD = 0.7
@@ -27,6 +27,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.deduplicate(documents(spark, sf_dir))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held_out = crc_mod(F.col("doc_id"), 4) == 2
@@ -39,9 +43,28 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
+        "op7_exact_dedup": op7_exact_dedup,
         "op8_quality": op8_quality,
     }
 
 
+OP7_SQL = r"""
+WITH normal AS (
+  SELECT doc_id, length(coalesce(text, '')) AS chars,
+         regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body
+  FROM documents
+), ranked AS (
+  SELECT doc_id, body,
+         first_value(doc_id) OVER w AS keep_id,
+         count(*) OVER (PARTITION BY body) AS group_size,
+         row_number() OVER w AS place
+  FROM normal
+  WINDOW w AS (PARTITION BY body ORDER BY chars DESC, doc_id NULLS FIRST)
+)
+SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(body) AS text_sha256
+FROM ranked
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_exact_dedup": OP7_SQL}
