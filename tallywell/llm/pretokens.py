@@ -17,8 +17,8 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 VOCABULARY = "word_bpe_49k.json"
-#: Entries after which a worker's cache of words is emptied.
-CACHE_LIMIT = 400_000
+#: Entries after which a worker's cache starts anew; what was used since then stays.
+CACHE_LIMIT = 350_000
 
 #: Fixed value: the splitting pattern of the file, for texts of plain characters.
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
@@ -32,8 +32,9 @@ class PreTokenizer:
         special = self.library.get_added_tokens_decoder().values()
         self.special = {t.content for t in special}
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.special))) + ")") if special else None
-        self._words: dict[str, bytes] = {}
-        self._pieces: dict[str, bytes] = {}
+        self._model = self.library.model
+        self._words = _Cache()
+        self._pieces = _Cache()
 
     def parts(self, text: str) -> list[str]:
         """The text cut at special strings, these included."""
@@ -58,40 +59,73 @@ class PreTokenizer:
         """The number of pieces of each pre-token."""
         return [len(e) for e in self.library.encode_batch_fast(pretokens, add_special_tokens=False)]
 
-    def _ids_of(self, pretokens: list[str]) -> bytes:
-        """Little-endian unsigned 32-bit ids of a run of pre-tokens, each encoded once per worker."""
-        new = [p for p in dict.fromkeys(pretokens) if p not in self._pieces]
-        if new:
-            if len(self._pieces) + len(new) > CACHE_LIMIT:
-                self._pieces.clear()
-                new = list(dict.fromkeys(pretokens))
-            for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self._pieces[p] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([self._pieces[p] for p in pretokens])
+    def _piece_ids(self, pretoken: str) -> bytes:
+        """Little-endian unsigned 32-bit ids of one pre-token."""
+        found = self._pieces.get(pretoken)
+        if found is None:
+            if pretoken in self.special:
+                ids = [self.library.token_to_id(pretoken)]
+            else:
+                plain = pretoken.isascii() and pretoken.isprintable()
+                spelt = pretoken if plain else pretoken.encode().decode("latin-1").translate(_BYTE_CHARS)
+                ids = [t.id for t in self._model.tokenize(spelt)]
+            found = self._pieces.put(pretoken, np.array(ids, "<u4").tobytes())
+        return found
 
     def ids(self, text: str) -> bytes:
         """The text's ids, four bytes each. Words between white space repeat, so they are
         looked up whole; pre-tokens never span white space."""
+        piece = self._piece_ids
         out: list[bytes] = []
         for part in self.parts(text):
             if part in self.special or _NOT_PLAIN.search(part) is not None:
-                out.append(self._ids_of(self.split(part)))
+                out.extend(map(piece, self.split(part)))
                 continue
-            words = part.lower().split()
             known = self._words
-            missing = [w for w in set(words) if w not in known]
-            if missing:
-                if len(known) + len(missing) > CACHE_LIMIT:
-                    known.clear()
-                    missing = list(set(words))
-                apart = [_SPLIT.findall(w) for w in missing]
-                self._ids_of([p for ps in apart for p in ps])
-                for w, ps in zip(missing, apart, strict=True):
-                    known[w] = self._ids_of(ps)
-            out.extend([known[w] for w in words])
+            words = part.lower().split()
+            found = list(map(known.new.get, words))
+            if None in found:
+                for i, ids in enumerate(found):
+                    if ids is None:
+                        word = words[i]
+                        ids = known.get(word)
+                        if ids is None:
+                            ids = known.put(word, b"".join(map(piece, _SPLIT.findall(word))))
+                        found[i] = ids
+            out.extend(found)
         return b"".join(out)
 
 
+class _Cache:
+    """Bounded: when full, the entries become old ones, which are dropped at the next time unless used."""
+
+    def __init__(self) -> None:
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def get(self, key: str) -> bytes | None:
+        found = self.new.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key: str, value: bytes) -> bytes:
+        if len(self.new) >= CACHE_LIMIT:
+            self.new, self.old = {}, self.new
+        self.new[key] = value
+        return value
+
+
+def _byte_chars() -> dict[int, str]:
+    """How byte-level vocabularies write a byte: printable Latin-1 as itself, others from U+0100 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_BYTE_CHARS = _byte_chars()
+
+
 @functools.lru_cache(maxsize=4)
 def pretokenizer(path: str) -> PreTokenizer:
     """One instance per worker process and file: its caches outlive a task."""
