@@ -33,6 +33,8 @@ _STATE_SETTINGS = {
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ),
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # many small stores: no megabytes set aside in each
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
@@ -143,7 +145,9 @@ def deduplicate(docs: DataFrame, digest: Callable[[Column], Column] = sha256_hex
     slim = slim_rows(docs, digest)
     hits = stored(streamed_state(slim).filter("n > 1"), "hits")
     # full bytes of every hit: the grouping compares whole texts, after combining per task
-    behind = _texts(docs, digest).join(hits.select("digest"), "digest", "left_semi")
+    behind = _texts(docs, digest).join(
+        hits.select("digest").hint("merge"), "digest", "left_semi"
+    )
     several = stored(
         behind.groupBy("digest", "text")
         .agg(F.count("*").alias("n"))
