@@ -80,6 +80,22 @@ def crc_mod(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def row_key(docs: DataFrame) -> Column:
+    """Id and digest of the text: equal for rows that are the same document only."""
+    return F.concat_ws("|", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256), F.col("doc_id").cast("string"))
+
+
+def rows_with_keys(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``row_key`` is in ``keys (key)``, all columns, one row per key:
+    of rows equal in id and text the greatest in the other columns."""
+    names = docs.columns
+    wide = docs.select(
+        row_key(docs).alias("key"), F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]).alias("row")
+    )
+    found = wide.join(keys.select("key"), "key", "left_semi").groupBy("key").agg(F.max("row").alias("row"))
+    return found.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(names)])
+
+
 def fresh_name(taken: Iterable[str], wanted: str) -> str:
     """``wanted``, with underscores until it clashes with no column (names ignore case)."""
     lowered = {name.lower() for name in taken}

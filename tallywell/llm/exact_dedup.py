@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from tallywell.llm.common import new_path, stored
+from tallywell.llm.common import new_path, row_key, rows_with_keys, stored
 
 #: The characters that equality of texts ignores.
 IGNORED = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -54,13 +54,14 @@ def _rank() -> Column:
 
 
 def slim_rows(docs: DataFrame, digest: Callable[[Column], Column] = sha256_hex) -> DataFrame:
-    """``(digest, id, chars, locator)``, stored once so that the locators hold from then on."""
+    """``(digest, id, chars, locator, key)``, stored once so that the locators hold from then on."""
     return stored(
         docs.select(
             digest(normalised(F.col("text"))).alias("digest"),
             F.col("doc_id").alias("id"),
             F.length(F.coalesce("text", F.lit(""))).cast("long").alias("chars"),
             F.monotonically_increasing_id().alias("locator"),
+            row_key(docs).alias("key"),
         ),
         "digests",
     )
@@ -121,6 +122,7 @@ def _texts(docs: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
         F.col("doc_id").alias("id"),
         F.length(F.coalesce("text", F.lit(""))).cast("long").alias("chars"),
         F.monotonically_increasing_id().alias("locator"),
+        row_key(docs).alias("key"),
     )
 
 
@@ -133,11 +135,12 @@ def _decisions(rows: DataFrame) -> DataFrame:
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
         (alone | (F.col("best.locator") == F.col("locator"))).alias("kept"),
         F.col("digest").alias("text_sha256"),
+        "key",
     )
 
 
 def deduplicate(docs: DataFrame, digest: Callable[[Column], Column] = sha256_hex) -> DataFrame:
-    """``(doc_id, keep_id, group_size, kept, text_sha256)``, one row per row of ``docs``.
+    """``(doc_id, keep_id, group_size, kept, text_sha256, key)``, one row per row of ``docs``.
 
     ``digest`` may be a weaker function of the normalised text: what then collides is
     told apart by its bytes.
@@ -168,21 +171,5 @@ def deduplicate(docs: DataFrame, digest: Callable[[Column], Column] = sha256_hex
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
-
-    The decisions come back to the documents by id and digest; of rows equal in
-    both, the longest original stays. Texts are shuffled once, by that key.
-    """
-    names = docs.columns
-
-    def key(doc_id: Column, text_sha256: Column) -> Column:
-        return F.concat_ws("|", text_sha256, doc_id.cast("string"))
-
-    wide = docs.select(
-        key(F.col("doc_id"), sha256_hex(normalised(F.col("text")))).alias("key"),
-        F.length(F.coalesce("text", F.lit(""))).alias("chars"),
-        F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]).alias("row"),
-    )
-    kept = deduplicate(docs).filter("kept").select(key(F.col("doc_id"), F.col("text_sha256")).alias("key"))
-    best = wide.join(kept, "key", "left_semi").groupBy("key").agg(F.max_by("row", "chars").alias("row"))
-    return best.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(names)])
+    """The rows of ``docs`` that stay, with all their columns."""
+    return rows_with_keys(docs, deduplicate(docs).filter("kept").select("key"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywell.llm import exact_dedup, language_id, packing, quality, token_counts
+from tallywell.llm import exact_dedup, language_id, near_dedup, packing, quality, token_counts
 from tallywell.llm.common import crc_mod, documents, labels
 
 QUALITY_THRESHOLD = 0.7
@@ -38,7 +38,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.deduplicate(documents(spark, sf_dir))
+    return exact_dedup.deduplicate(documents(spark, sf_dir)).drop("key")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +50,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("predicted", (F.col("score") >= QUALITY_THRESHOLD).cast("int"))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir)).drop("key")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -57,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_token_counts": op6_token_counts,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_quality": op8_quality,
+        "op10_near_dedup": op10_near_dedup,
     }
 
 
