@@ -27,16 +27,19 @@ from tallywell.llm.common import ship_package, stored
 from tallywell.llm.pretokens import pretokenizer, vocabulary_path
 
 #: Characters after which a block is closed (a longer document is a block of its own).
-BLOCK_CHARS = 24_000_000
+BLOCK_CHARS = 64_000_000
 LIMIT = 2048
 
 
 def _packed(values: np.ndarray) -> bytes:
-    return zstandard.compress(np.ascontiguousarray(values).tobytes(), 1)
+    """32-bit numbers by byte planes: the high bytes are nearly all zero."""
+    planes = np.ascontiguousarray(values.astype("<i4").view(np.uint8).reshape(-1, 4).T)
+    return zstandard.compress(planes.tobytes(), 1)
 
 
-def _unpacked(data: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(data), kind)
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel()
 
 
 class _Block:
@@ -66,7 +69,7 @@ class _Block:
     def row(self, schema: pa.Schema) -> pa.RecordBatch:
         empty = np.zeros(0, "<i4")
         values = [
-            [uuid.uuid4().hex],
+            [uuid.uuid4().int >> 65],
             [self.ids],
             [self.bytes],
             [list(self.index)],
@@ -85,7 +88,7 @@ def frequencies(docs: DataFrame, path: str, block_chars: int = BLOCK_CHARS) -> D
 
     schema = pa.schema(
         [
-            ("block", pa.string()),
+            ("block", pa.int64()),
             ("ids", pa.list_(to_arrow_type(kind))),
             ("bytes", pa.list_(pa.int64())),
             ("pretokens", pa.list_(pa.string())),
@@ -110,7 +113,7 @@ def frequencies(docs: DataFrame, path: str, block_chars: int = BLOCK_CHARS) -> D
 
     return docs.select("doc_id", "text").mapInArrow(
         gather,
-        f"block string, ids array<{kind.simpleString()}>, bytes array<bigint>, pretokens array<string>, "
+        f"block long, ids array<{kind.simpleString()}>, bytes array<bigint>, pretokens array<string>, "
         "sizes binary, words binary, times binary",
     )
 
@@ -145,16 +148,16 @@ def count_tokens(docs: DataFrame, path: str | None = None, block_chars: int = BL
         for batch in batches:
             for i in range(batch.num_rows):
                 ids, size, sizes, words, times, counts = (batch.column(k).slice(i, 1) for k in range(6))
-                sizes = _unpacked(sizes[0].as_py(), "<i4")
+                sizes = _unpacked(sizes[0].as_py())
                 listed = counts.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
                 pieces = np.zeros(len(listed), np.int64)
                 pieces[listed >> 32] = listed & 0xFFFFFFFF
                 owner = np.repeat(np.arange(len(sizes)), sizes)
-                steps = _unpacked(words[0].as_py(), "<i4").astype(np.int64).cumsum()
+                steps = _unpacked(words[0].as_py()).astype(np.int64).cumsum()
                 first = np.concatenate([[0], sizes.cumsum()[:-1]]).astype(np.int64)
                 before = np.where(first > 0, steps[np.maximum(first - 1, 0)], 0) if len(steps) else np.zeros(len(sizes), np.int64)
                 at = steps - before[owner]
-                tokens = np.bincount(owner, _unpacked(times[0].as_py(), "<i4") * pieces[at], len(sizes))
+                tokens = np.bincount(owner, _unpacked(times[0].as_py()) * pieces[at], len(sizes))
                 yield pa.RecordBatch.from_arrays(
                     [ids.flatten(), size.flatten(), pa.array(tokens.astype(np.int64))],
                     names=["doc_id", "n_bytes", "n_tokens"],
