@@ -16,10 +16,9 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-VOCABULARY = "word_bpe_49k.json"
-#: Entries after which a worker's cache starts anew; what was used since then stays.
-CACHE_LIMIT = 350_000
+from tallywell.llm.cache import GenerationCache
 
+VOCABULARY = "word_bpe_49k.json"
 #: Fixed value: the splitting pattern of the file, for texts of plain characters.
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 #: Controls, numbers beyond ASCII digits and all letters beyond Latin are not plain.
@@ -33,8 +32,8 @@ class PreTokenizer:
         self.special = {t.content for t in special}
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.special))) + ")") if special else None
         self._model = self.library.model
-        self._words = _Cache()
-        self._pieces = _Cache()
+        self._words = GenerationCache()
+        self._pieces = GenerationCache()
 
     def parts(self, text: str) -> list[str]:
         """The text cut at special strings, these included."""
@@ -96,26 +95,6 @@ class PreTokenizer:
         return b"".join(out)
 
 
-class _Cache:
-    """Bounded: when full, the entries become old ones, which are dropped at the next time unless used."""
-
-    def __init__(self) -> None:
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def get(self, key: str) -> bytes | None:
-        found = self.new.get(key)
-        if found is None and (found := self.old.get(key)) is not None:
-            self.put(key, found)
-        return found
-
-    def put(self, key: str, value: bytes) -> bytes:
-        if len(self.new) >= CACHE_LIMIT:
-            self.new, self.old = {}, self.new
-        self.new[key] = value
-        return value
-
-
 def _byte_chars() -> dict[int, str]:
     """How byte-level vocabularies write a byte: printable Latin-1 as itself, others from U+0100 on."""
     printable = {*range(33, 127), *range(161, 173), *range(174, 256)}

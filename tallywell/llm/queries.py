@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywell.llm import exact_dedup, language_id, near_dedup, packing, quality, token_counts
+from tallywell.llm import exact_dedup, language_id, near_dedup, packing, quality, token_counts, toxicity
 from tallywell.llm.common import crc_mod, documents, labels
 
 QUALITY_THRESHOLD = 0.7
@@ -50,6 +50,15 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("predicted", (F.col("score") >= QUALITY_THRESHOLD).cast("int"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = crc_mod(F.col("doc_id"), 5) == 0
+    model = toxicity.fit(docs, labels(spark, sf_dir).filter(~held_out))
+    return docs.select(
+        "doc_id", held_out.alias("held_out"), toxicity.score_column(model, F.col("text")).alias("score")
+    ).withColumn("predicted", (F.col("score") >= TOXICITY_THRESHOLD).cast("int"))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir)).drop("key")
 
@@ -61,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_token_counts": op6_token_counts,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_quality": op8_quality,
+        "op9_toxicity": op9_toxicity,
         "op10_near_dedup": op10_near_dedup,
     }
 
