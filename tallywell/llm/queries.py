@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywell.llm import exact_dedup, language_id, near_dedup, packing, quality, token_counts, toxicity
+from tallywell.llm import exact_dedup, fingerprints, language_id, near_dedup, packing, quality, token_counts, toxicity
 from tallywell.llm.common import crc_mod, documents, labels
 
 QUALITY_THRESHOLD = 0.7
@@ -27,6 +27,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(documents(spark, sf_dir))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
@@ -66,6 +70,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
+        "op2_fingerprints": op2_fingerprints,
         "op3_packing": op3_packing,
         "op6_token_counts": op6_token_counts,
         "op7_exact_dedup": op7_exact_dedup,
