@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywell.llm import exact_dedup, fingerprints, language_id, near_dedup, packing, quality, token_counts, toxicity
+from tallywell.llm import exact_dedup, fingerprints, language_id, licenses, near_dedup, packing, quality, token_counts, toxicity
 from tallywell.llm.common import crc_mod, documents, labels
 
 QUALITY_THRESHOLD = 0.7
@@ -35,6 +35,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir)).withColumn(
         "over_limit", F.col("n_tokens") > token_counts.LIMIT
@@ -72,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_language_id": op1_language_id,
         "op2_fingerprints": op2_fingerprints,
         "op3_packing": op3_packing,
+        "op4_licenses": op4_licenses,
         "op6_token_counts": op6_token_counts,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_quality": op8_quality,
@@ -99,4 +104,4 @@ FROM ranked
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7_SQL}
+    return {"op4_licenses": licenses.scan_sql(), "op7_exact_dedup": OP7_SQL}
