@@ -75,37 +75,41 @@ def sentences_of(text: str) -> list[str]:
     return [s for s in _SENTENCE.split(text) if s.strip()]
 
 
+#: Words handled at once: their number, a code and an offset fit into 32 bits.
+_CHUNK = 128
+
+
 def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(word number, code, weight)`` of the words' subsequences of three characters within the
-    span, each once per word, in order of word and code; weights are scaled to unit length per word.
+    """``(word number, code, weight)`` of the subsequences of three characters within the span of up to
+    ``_CHUNK`` words, each once per word, in order of word and code, scaled to unit length per word.
 
     A word stands between two marks, so that its start and its end count as characters.
     """
-    lengths = np.array([len(w) for w in words], np.int64) + 2
+    lengths = np.array([len(w) for w in words], np.int32) + 2
     ends = lengths.cumsum()
-    flat = np.zeros(int(ends[-1]) if len(words) else 0, np.int64)
-    letters = np.frombuffer("".join(words).encode("utf-32-le", "replace"), "<u4").astype(np.int64)
+    flat = np.zeros(int(ends[-1]) if len(words) else 0, np.int32)
+    letters = np.frombuffer("".join(words).encode("utf-32-le", "replace"), "<u4").astype(np.int32)
     inner = np.ones(len(flat), bool)
     inner[ends - 1] = False
     inner[ends - lengths] = False
     flat[inner] = 3 + np.where((letters >= 97) & (letters <= 122), letters - 97, 26 + letters % 34)
     flat[ends - 1], flat[ends - lengths] = 1, 2
-    owner = np.repeat(np.arange(len(words)), lengths)
-    parts, weights = [], []
-    for (i, j), w in zip(_OFFSETS, _WEIGHTS, strict=True):
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
+    parts = []
+    for k, (i, j) in enumerate(_OFFSETS):
         n = len(flat) - j
         if n > 0:
-            whole = owner[:n] == owner[j:]
-            code = (flat[:n] * _CODES + flat[i : i + n]) * _CODES + flat[j:]
-            parts.append((owner[:n] * _CODES**3 + code)[whole])
-            weights.append(np.full(len(parts[-1]), w))
-    if not parts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    keys, inverse = np.unique(np.concatenate(parts), return_inverse=True)
-    total = np.bincount(inverse, np.concatenate(weights), len(keys))
-    own = keys // _CODES**3
+            code = ((owner[:n] * _CODES + flat[:n]) * _CODES + flat[i : i + n]) * _CODES + flat[j:]
+            parts.append((code * 16 + k)[owner[:n] == owner[j:]])
+    keys = np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.int32)
+    if not len(keys):
+        return keys, keys, np.zeros(0)
+    codes = keys >> 4
+    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+    total = np.add.reduceat(_WEIGHTS[keys & 15], first)
+    own, code = codes[first] // _CODES**3, codes[first] % _CODES**3
     norm = np.sqrt(np.bincount(own, total * total, len(words)))
-    return own, keys % _CODES**3, total / norm[own]
+    return own, code, total / norm[own]
 
 
 def kernel(a: str, b: str) -> float:
@@ -119,24 +123,28 @@ class Landmarks:
     """The landmarks' subsequence weights, to compute their kernels with many words at once."""
 
     def __init__(self, words: list[str]) -> None:
-        own, code, weight = subsequences(words)
-        rows = np.unique(code)
+        found = [subsequences(words[i : i + _CHUNK]) for i in range(0, len(words), _CHUNK)]
+        rows = np.unique(np.concatenate([code for _, code, _ in found]))
         self.at = np.full(_CODES**3, -1, np.int32)
         self.at[rows] = np.arange(len(rows))
         self.dense = np.zeros((len(rows), len(words)), np.float32)
-        self.dense[self.at[code], own] = weight
+        for k, (own, code, weight) in enumerate(found):
+            self.dense[self.at[code], own + k * _CHUNK] = weight
 
     def kernels(self, words: list[str]) -> np.ndarray:
-        """A row per word: the sharpened kernel with each landmark."""
+        """A row per word, ``_CHUNK`` words at most: the sharpened kernel with each landmark."""
         out = np.zeros((len(words), self.dense.shape[1]), np.float32)
         own, code, weight = subsequences(words)
         row = self.at[code]
         known = row >= 0
         own, row, weight = own[known], row[known], weight[known].astype(np.float32)
-        if len(own):
-            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            out[own[first]] = np.add.reduceat(self.dense[row] * weight[:, None], first, axis=0)
-        return np.exp(SHARPNESS * (out - 1.0))
+        bounds = np.searchsorted(own, np.arange(len(words) + 1)).tolist()
+        for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
+            if a < b:
+                np.dot(weight[a:b], self.dense.take(row[a:b], axis=0), out=out[k])
+        out -= 1.0
+        out *= SHARPNESS
+        return np.exp(out, out=out)
 
 
 @dataclass
@@ -149,7 +157,7 @@ class Machine:
     def scores(self, words: list[str]) -> np.ndarray:
         if self.landmarks is None or not words:
             return np.full(len(words), self.bias)
-        parts = [self.landmarks.kernels(words[i : i + 128]) @ self.weights for i in range(0, len(words), 128)]
+        parts = [self.landmarks.kernels(words[i : i + _CHUNK]) @ self.weights for i in range(0, len(words), _CHUNK)]
         return np.concatenate(parts).astype(np.float64) + self.bias
 
 
@@ -177,12 +185,14 @@ def fit_machine(words: list[str], toxic: np.ndarray, clean: np.ndarray, landmark
     common = np.argsort(-clean, kind="stable")[:landmarks]
     chosen = list(dict.fromkeys(np.concatenate([typical, stretched, common]).tolist()))[:landmarks]
     marks = Landmarks([words[i] for i in chosen])
-    values, vectors = np.linalg.eigh(marks.kernels([words[i] for i in chosen]).astype(np.float64))
+    own = [words[i] for i in chosen]
+    gram = np.concatenate([marks.kernels(own[i : i + _CHUNK]) for i in range(0, len(own), _CHUNK)])
+    values, vectors = np.linalg.eigh(gram.astype(np.float64))
     good = values > 1e-5 * values[-1]
     whiten = vectors[:, good] / np.sqrt(values[good])
     z = np.ones((len(words), int(good.sum()) + 1))
-    for i in range(0, len(words), 128):
-        z[i : i + 128, :-1] = marks.kernels(words[i : i + 128]) @ whiten
+    for i in range(0, len(words), _CHUNK):
+        z[i : i + _CHUNK, :-1] = marks.kernels(words[i : i + _CHUNK]) @ whiten
     # primal Newton steps on the squared hinge; each word is an example of either class, by its counts
     w = np.zeros(z.shape[1])
     ridge = np.eye(z.shape[1]) * RIDGE
@@ -205,8 +215,8 @@ class Scorer:
 
     def __init__(self, machine: Machine) -> None:
         self.machine = machine
-        self.raw: GenerationCache[float] = GenerationCache()
-        self.plain: GenerationCache[float] = GenerationCache()
+        self.raw: GenerationCache[float] = GenerationCache(500_000)
+        self.plain: GenerationCache[float] = GenerationCache(600_000)
 
     def words(self, words: list[str]) -> list[float]:
         found = list(map(self.raw.new.get, words))
