@@ -15,7 +15,9 @@ Documents of equal weighted sets form one node. Nodes that share a band of the s
 meet in a bucket. A bucket is not expanded into pairs: its members are compared with one
 member, the pivot, and links are contracted into components; buckets whose members
 are in several components get another pivot, and what is left after that is compared
-across components only. Every comparison is exact, on the whole weighted sets.
+across components only. Before that, pairs whose signatures differ in more coordinates than
+pairs at the threshold do (by 2.6 standard deviations, which 1 in 200 such pairs and 1 in 2,000
+of those at 0.82 exceed) are left out, inside the join. Every comparison that decides is exact, on the whole weighted sets.
 
 Defined cases: a text of one to four words is one shingle; a null text or one without words has
 no near-duplicates. The document kept is that with the smallest id (null first, then the
@@ -30,7 +32,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,16 +40,19 @@ from tallywell.llm.components import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS = 24
-ROWS = 6
-PIVOT_ROUNDS = 3
+BANDS = 27
+ROWS = 7
+#: Coordinates of a signature; the few that fill no band serve the sketch only.
+COORDINATES = 192
+PIVOT_ROUNDS = 2
 #: Pivots that a node is compared with in one round: those it shares most buckets with.
 PIVOTS_PER_NODE = 2
 
+_SKETCH = [f"s{i}" for i in range(COORDINATES // 16)]
 _U = np.uint64
 _ODD = _U(0x9E3779B97F4A7C15)
-_CACHE: dict[str, int] = {}
-_CACHE_LIMIT = 500_000
+#: Darts thrown at once for all elements, at most (but one for each).
+_CELLS = 1 << 16
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -58,25 +62,31 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+_FACTORS = _mix(np.arange(1, 257, dtype=np.uint64) * _ODD)
+
+
 def _uniform(x: np.ndarray) -> np.ndarray:
     """Hashes as numbers above 0 and at most 1."""
     return ((x >> _U(11)).astype(np.float64) + 1.0) * 2.0**-53
 
 
+def _word_hashes(words: list[str]) -> np.ndarray:
+    """Per word the sum of its UTF-8 bytes times fixed random numbers by place, mixed."""
+    raw = np.frombuffer((" ".join(words) + " ").encode("utf-8", "replace"), np.uint8)
+    ends = np.flatnonzero(raw == 32)
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    place = np.arange(len(raw)) - np.repeat(starts, ends + 1 - starts)
+    longest = int(place.max()) + 1
+    factors = _FACTORS if longest <= len(_FACTORS) else _mix(np.arange(1, longest + 1, dtype=np.uint64) * _ODD)
+    return _mix(np.add.reduceat((raw.astype(np.uint64) + _U(1)) * factors[place], starts))
+
+
 def weighted_set(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Hashed shingles in order and how often each occurs."""
     words = (text or "").lower().split()
     if not words:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    known = list(map(_CACHE.get, words))
-    if None in known:
-        for i, h in enumerate(known):
-            if h is None:
-                known[i] = xxhash.xxh64_intdigest(words[i].encode("utf-8", "replace"))
-                if len(_CACHE) >= _CACHE_LIMIT:
-                    _CACHE.clear()
-                _CACHE[words[i]] = known[i]
-    hashes = np.array(known, np.uint64)
+    hashes = _word_hashes(words)
     n = min(SHINGLE, len(hashes))
     total = np.full(len(hashes) - n + 1, n, np.uint64)
     for k in range(n):
@@ -84,7 +94,7 @@ def weighted_set(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(total, return_counts=True)
 
 
-def signature(elements: np.ndarray, weights: np.ndarray, k: int = BANDS * ROWS) -> np.ndarray:
+def signature(elements: np.ndarray, weights: np.ndarray, k: int = COORDINATES) -> np.ndarray:
     """The hashes of the earliest dart in each of ``k`` coordinates; weights are positive numbers."""
     # weight regions [2^v - 1, 2^(v+1) - 1), as many as the weight reaches into
     levels = np.floor(np.log2(np.maximum(weights, 1e-300) + 1.0)).astype(np.int64)
@@ -99,7 +109,9 @@ def signature(elements: np.ndarray, weights: np.ndarray, k: int = BANDS * ROWS)
         ranks, darts = [], []
         at, rank, step = np.arange(len(owner)), np.zeros(len(owner)), 0
         while len(at):
-            width = max(1, math.ceil(reach * float(size[at].max()) + 1)) if len(at) < 64 else 1
+            mean = reach * float(size[at].max())
+            width = math.ceil(mean + 2.0 * math.sqrt(mean)) if step == 0 else math.ceil(math.sqrt(mean))
+            width = max(1, min(width, _CELLS // len(at)))
             number = np.arange(step + 1, step + width + 1, dtype=np.uint64)
             own = _mix(seed[at][:, None] ^ _mix(number * _ODD)[None, :])
             gaps = -np.log(_uniform(own)) / size[at][:, None]
@@ -124,10 +136,33 @@ def signature(elements: np.ndarray, weights: np.ndarray, k: int = BANDS * ROWS)
 def band_keys(sign: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     total = _mix(np.arange(1, bands + 1, dtype=np.uint64) * _ODD)
     for r in range(rows):
-        total = _mix(total * _ODD + sign.reshape(bands, rows)[:, r])
+        total = _mix(total * _ODD + sign[: bands * rows].reshape(bands, rows)[:, r])
     return total.view(np.int64)
 
 
+def sketch(sign: np.ndarray) -> np.ndarray:
+    """Four bits of every coordinate, sixteen coordinates to a long."""
+    bits = (sign.reshape(-1, 16) >> _U(7)) & _U(15)
+    return (bits << (np.arange(16, dtype=np.uint64) * _U(4))).sum(1, dtype=np.uint64).view(np.int64)
+
+
+def most_different(least: float, k: int = COORDINATES) -> int:
+    """In how many of ``k`` four-bit coordinates a pair at the threshold may differ."""
+    differ = (1.0 - least) * 15 / 16
+    return math.floor(k * differ + 2.6 * math.sqrt(k * differ * (1 - differ)))
+
+
+def _alike(one: list[Column], two: list[Column], least: float) -> Column:
+    """Whether two sketches differ in few enough coordinates, in plain integer arithmetic."""
+    total = F.lit(0)
+    for a, b in zip(one, two, strict=True):
+        x = a.bitwiseXOR(b)
+        for shift in (1, 2):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+        total = total + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    return total <= most_different(least)
+
+
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard similarity of two weighted sets with elements in order."""
     if not len(a[0]) or not len(b[0]):
@@ -144,29 +179,38 @@ def _print(elements: np.ndarray, counts: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """``(row, doc_id, key, print, bands)`` per row, stored: the digest of its weighted set and its band keys."""
+    """``(row, doc_id, key, print, bands, sketch)`` per row, stored: the digest of its weighted set, its band
+    keys and four bits of each coordinate."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, bands = [], []
+            prints, bands, sketches = [], [], []
             for text in batch.column(2):
                 elements, counts = weighted_set(text.as_py())
                 prints.append(_print(elements, counts) if len(elements) else None)
-                bands.append(band_keys(signature(elements, counts)) if len(elements) else [])
+                sign = signature(elements, counts) if len(elements) else None
+                bands.append(band_keys(sign) if sign is not None else [])
+                sketches.append(sketch(sign) if sign is not None else [])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                names=["doc_id", "key", "print", "bands"],
+                [
+                    batch.column(0),
+                    batch.column(1),
+                    pa.array(prints, pa.binary()),
+                    pa.array(bands, pa.list_(pa.int64())),
+                    pa.array(sketches, pa.list_(pa.int64())),
+                ],
+                names=["doc_id", "key", "print", "bands", "sketch"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     signed = docs.select("doc_id", row_key(docs).alias("key"), "text").mapInArrow(
-        sign, f"doc_id {kind}, key string, print binary, bands array<bigint>"
+        sign, f"doc_id {kind}, key string, print binary, bands array<bigint>, sketch array<bigint>"
     )
     return stored(signed.withColumn("row", F.monotonically_increasing_id()), "signatures")
 
 
 def _vectors(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(node, elements, counts)`` of ``nodes (node, key, print)``, from their texts."""
+    """``(node, elements, counts)`` of ``nodes (node, key, print)``, from their texts; no counts if all are 1."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,7 +219,7 @@ def _vectors(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 [
                     batch.column(0),
                     pa.array([e.tobytes() for e, _ in sets], pa.binary()),
-                    pa.array([c.astype("<i4").tobytes() for _, c in sets], pa.binary()),
+                    pa.array([b"" if c.max(initial=1) == 1 else c.astype("<i4").tobytes() for _, c in sets], pa.binary()),
                 ],
                 names=["node", "elements", "counts"],
             )
@@ -191,6 +235,11 @@ def _vectors(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
+def _read(elements: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    found = np.frombuffer(elements, np.uint64)
+    return found, np.frombuffer(counts, "<i4") if counts else np.ones(len(found), np.int32)
+
+
 def _verified(pairs: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
     """The ``pairs (a, b)`` whose exact similarity reaches ``least``."""
 
@@ -199,9 +248,7 @@ def _verified(pairs: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
             keep = []
             for i in range(batch.num_rows):
                 ae, ac, be, bc = (batch.column(c)[i].as_py() for c in range(2, 6))
-                one = np.frombuffer(ae, np.uint64), np.frombuffer(ac, "<i4")
-                two = np.frombuffer(be, np.uint64), np.frombuffer(bc, "<i4")
-                keep.append(similarity(one, two) >= least)
+                keep.append(similarity(_read(ae, ac), _read(be, bc)) >= least)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     first = vectors.toDF("a", "ae", "ac")
@@ -210,14 +257,23 @@ def _verified(pairs: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
     return joined.mapInArrow(compare, "a long, b long")
 
 
-def _pivot_pairs(open_members: DataFrame, turn: int, per_node: int) -> DataFrame:
+def _pivot_pairs(open_members: DataFrame, turn: int, per_node: int, least: float) -> DataFrame:
     """From ``(bucket, node, label)``: each node with the pivots of its buckets, those first that it
-    meets in most buckets. A bucket's pivot is found with map-side combining."""
-    order = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "label")
-    pivots = open_members.groupBy("bucket").agg(F.min(order).alias("p"))
+    meets in most buckets.
+
+    The pivot is a central member: its buckets hold many nodes, as a text from which the others were
+    copied has. Later turns vary that by a hash. Sizes and pivots are found with map-side combining.
+    """
+    sizes = open_members.groupBy("bucket").agg(F.count("*").alias("size"))
+    central = open_members.join(sizes, "bucket").groupBy("node").agg(F.sum("size").alias("weight"))
+    vary = 1.0 - 0.5 * F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1000)) / 1000 if turn else F.lit(1.0)
+    ranked = stored(open_members.join(central.select("node", (F.col("weight") * vary).alias("w")), "node"), "ranked")
+    order = F.struct("w", (-F.col("node")).alias("less"), "node", "label", *_SKETCH)
+    pivots = ranked.groupBy("bucket").agg(F.max(order).alias("p"))
+    near = _alike([F.col(c) for c in _SKETCH], [F.col(f"p.{c}") for c in _SKETCH], least)
     met = (
-        open_members.join(pivots, "bucket")
-        .filter("label != p.label")
+        ranked.join(pivots, "bucket")
+        .filter((F.col("label") != F.col("p.label")) & near)
         .groupBy("node", F.col("p.node").alias("pivot"))
         .agg(F.count("*").alias("shared"))
     )
@@ -226,10 +282,21 @@ def _pivot_pairs(open_members: DataFrame, turn: int, per_node: int) -> DataFrame
     return chosen.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
 
 
+def _cross_pairs(open_members: DataFrame, least: float) -> DataFrame:
+    """Pairs of one bucket in different components, as far as their sketches are alike."""
+    other = open_members.select(
+        "bucket", F.col("node").alias("b"), F.col("label").alias("other"), *[F.col(c).alias(f"o{c}") for c in _SKETCH]
+    )
+    near = _alike([F.col(c) for c in _SKETCH], [F.col(f"o{c}") for c in _SKETCH], least)
+    same = open_members["bucket"] == other["bucket"]
+    both = open_members.join(other, same & (F.col("node") < F.col("b")) & (F.col("label") != F.col("other")) & near)
+    return both.select(F.col("node").alias("a"), "b").distinct()
+
+
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
     """``(bucket, node, label)`` of the buckets whose nodes are in more than one component."""
     labelled = members.join(labels, "node", "left").select(
-        "bucket", "node", F.coalesce("label", "node").alias("label")
+        "bucket", "node", F.coalesce("label", "node").alias("label"), *_SKETCH
     )
     split = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi")
     return labelled.join(split.select("bucket"), "bucket", "left_semi")
@@ -254,9 +321,11 @@ def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
 
 def node_labels(docs: DataFrame, nodes: DataFrame, least: float) -> DataFrame | None:
     """``(node, label)`` of the nodes with a link; None if no two nodes share a bucket."""
-    placed = nodes.select(F.explode("bands").alias("bucket"), "node")
+    wide = nodes.select("node", "bands", *[F.col("sketch")[i].alias(c) for i, c in enumerate(_SKETCH)])
+    placed = wide.select(F.explode("bands").alias("bucket"), "node")
     busy = placed.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo != hi")
-    members = stored(placed.join(busy.select("bucket"), "bucket", "left_semi"), "members")
+    met = placed.join(busy.select("bucket"), "bucket", "left_semi")
+    members = stored(met.join(wide.drop("bands"), "node"), "members")
     if members.isEmpty():
         return None
     involved = members.select("node").distinct()
@@ -269,12 +338,9 @@ def node_labels(docs: DataFrame, nodes: DataFrame, least: float) -> DataFrame |
         else:
             split = stored(_open(members, labels), "open")
         if turn < PIVOT_ROUNDS:
-            pairs = _pivot_pairs(split, turn, PIVOTS_PER_NODE)
+            pairs = _pivot_pairs(split, turn, PIVOTS_PER_NODE, least)
         else:  # what several pivots left apart: across components only
-            other = split.select("bucket", F.col("node").alias("b"), F.col("label").alias("other"))
-            pairs = (
-                split.withColumnRenamed("node", "a").join(other, "bucket").filter("a < b and label != other")
-            ).select("a", "b").distinct()
+            pairs = _cross_pairs(split, least)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
@@ -297,7 +363,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     nodes = stored(
         signed.filter("print is not null")
         .groupBy("print")
-        .agg(F.min("row").alias("node"), F.min_by("key", "row").alias("key"), F.min_by("bands", "row").alias("bands")),
+        .agg(F.min("row").alias("node"), F.min_by("key", "row").alias("key"), F.min_by("bands", "row").alias("bands"), F.min_by("sketch", "row").alias("sketch")),
         "nodes",
     )
     labels = node_labels(docs, nodes, least)
