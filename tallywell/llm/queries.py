@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywell.llm import exact_dedup, fingerprints, language_id, licenses, near_dedup, packing, quality, token_counts, toxicity
+from tallywell.llm import (
+    exact_dedup,
+    fingerprints,
+    language_id,
+    licenses,
+    near_dedup,
+    packing,
+    quality,
+    sentencepieces,
+    token_counts,
+    toxicity,
+)
 from tallywell.llm.common import crc_mod, documents, labels
 
 QUALITY_THRESHOLD = 0.7
@@ -39,6 +50,10 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.encode(documents(spark, sf_dir))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir)).withColumn(
         "over_limit", F.col("n_tokens") > token_counts.LIMIT
@@ -77,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_fingerprints": op2_fingerprints,
         "op3_packing": op3_packing,
         "op4_licenses": op4_licenses,
+        "op5_sentencepiece": op5_sentencepiece,
         "op6_token_counts": op6_token_counts,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_quality": op8_quality,
