@@ -24,19 +24,18 @@ def _small_star(links: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """``(node, label)`` for every node of ``links (a, b)``, two longs: the least node connected to it.
+    ``links`` is read twice, so it should be a stored table.
 
     A step is two groupings with map-side combining and two joins, whatever the degree of a
     node; the number of steps grows with the logarithm of a component's diameter.
     """
-    links = stored(
-        links.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links"
-    )
+    links = links.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     state = None
     while True:
+        links = stored(_small_star(stored(_large_star(links), "large")), "small")
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_000_007)).first()
         if now == state or now[0] == 0:
             break
         state = now
-        links = stored(_small_star(stored(_large_star(links).filter("a != b").distinct(), "large")), "small")
     roots = links.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("label"))
     return links.select(F.col("a").alias("node"), F.col("b").alias("label")).union(roots)

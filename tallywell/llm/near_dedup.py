@@ -13,9 +13,8 @@ to the shingles plus k log k, not to their product.
 
 Documents of equal weighted sets form one node. Nodes that share a band of the signature
 meet in a bucket. A bucket is not expanded into pairs: its members are compared with one
-member, the pivot, and links are contracted into components; buckets whose members
-are in several components get another pivot, and what is left after that is compared
-across components only. Before that, pairs whose signatures differ in more coordinates than
+central member, the pivot, and links are contracted into components; of buckets whose members
+are then in several components, pairs across components are compared, each in its first bucket only. Before that, pairs whose signatures differ in more coordinates than
 pairs at the threshold do (by 2.6 standard deviations, which 1 in 200 such pairs and 1 in 2,000
 of those at 0.82 exceed) are left out, inside the join. Every comparison that decides is exact, on the whole weighted sets.
 
@@ -44,9 +43,8 @@ BANDS = 27
 ROWS = 7
 #: Coordinates of a signature; the few that fill no band serve the sketch only.
 COORDINATES = 192
-PIVOT_ROUNDS = 2
-#: Pivots that a node is compared with in one round: those it shares most buckets with.
-PIVOTS_PER_NODE = 2
+#: Pivots that a node is compared with: those it shares most buckets with.
+PIVOTS_PER_NODE = 3
 
 _SKETCH = [f"s{i}" for i in range(COORDINATES // 16)]
 _U = np.uint64
@@ -257,23 +255,22 @@ def _verified(pairs: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
     return joined.mapInArrow(compare, "a long, b long")
 
 
-def _pivot_pairs(open_members: DataFrame, turn: int, per_node: int, least: float) -> DataFrame:
-    """From ``(bucket, node, label)``: each node with the pivots of its buckets, those first that it
+def _pivot_pairs(members: DataFrame, per_node: int, least: float) -> DataFrame:
+    """From ``(bucket, node)`` with sketches: each node with the pivots of its buckets, those first that it
     meets in most buckets.
 
     The pivot is a central member: its buckets hold many nodes, as a text from which the others were
-    copied has. Later turns vary that by a hash. Sizes and pivots are found with map-side combining.
+    copied has. Sizes and pivots are found with map-side combining.
     """
-    sizes = open_members.groupBy("bucket").agg(F.count("*").alias("size"))
-    central = open_members.join(sizes, "bucket").groupBy("node").agg(F.sum("size").alias("weight"))
-    vary = 1.0 - 0.5 * F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1000)) / 1000 if turn else F.lit(1.0)
-    ranked = stored(open_members.join(central.select("node", (F.col("weight") * vary).alias("w")), "node"), "ranked")
-    order = F.struct("w", (-F.col("node")).alias("less"), "node", "label", *_SKETCH)
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("size"))
+    central = members.select("bucket", "node").join(sizes, "bucket").groupBy("node").agg(F.sum("size").alias("weight"))
+    ranked = stored(members.join(central, "node"), "ranked")
+    order = F.struct("weight", (-F.col("node")).alias("less"), "node", *_SKETCH)
     pivots = ranked.groupBy("bucket").agg(F.max(order).alias("p"))
     near = _alike([F.col(c) for c in _SKETCH], [F.col(f"p.{c}") for c in _SKETCH], least)
     met = (
         ranked.join(pivots, "bucket")
-        .filter((F.col("label") != F.col("p.label")) & near)
+        .filter((F.col("node") != F.col("p.node")) & near)
         .groupBy("node", F.col("p.node").alias("pivot"))
         .agg(F.count("*").alias("shared"))
     )
@@ -283,76 +280,62 @@ def _pivot_pairs(open_members: DataFrame, turn: int, per_node: int, least: float
 
 
 def _cross_pairs(open_members: DataFrame, least: float) -> DataFrame:
-    """Pairs of one bucket in different components, as far as their sketches are alike."""
+    """Pairs in different components that share a bucket, as far as their sketches are alike; a pair is
+    found in the first of its buckets alone."""
     other = open_members.select(
-        "bucket", F.col("node").alias("b"), F.col("label").alias("other"), *[F.col(c).alias(f"o{c}") for c in _SKETCH]
+        F.col("bucket").alias("obucket"),
+        F.col("node").alias("b"),
+        F.col("label").alias("other"),
+        F.col("bands").alias("obands"),
+        *[F.col(c).alias(f"o{c}") for c in _SKETCH],
     )
     near = _alike([F.col(c) for c in _SKETCH], [F.col(f"o{c}") for c in _SKETCH], least)
-    same = open_members["bucket"] == other["bucket"]
-    both = open_members.join(other, same & (F.col("node") < F.col("b")) & (F.col("label") != F.col("other")) & near)
-    return both.select(F.col("node").alias("a"), "b").distinct()
+    first = F.element_at(F.array_intersect("bands", "obands"), 1) == F.col("bucket")
+    apart = (F.col("node") < F.col("b")) & (F.col("label") != F.col("other"))
+    both = open_members.join(other, (F.col("bucket") == F.col("obucket")) & apart & near & first)
+    return both.select(F.col("node").alias("a"), "b")
 
 
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(bucket, node, label)`` of the buckets whose nodes are in more than one component."""
-    labelled = members.join(labels, "node", "left").select(
-        "bucket", "node", F.coalesce("label", "node").alias("label"), *_SKETCH
-    )
+    """``members`` with their label, of the buckets whose nodes are in more than one component."""
+    labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     split = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi")
     return labelled.join(split.select("bucket"), "bucket", "left_semi")
 
 
-def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels of all linked nodes after adding ``links``; components so far stay one node each."""
-    if labels is None:
-        return stored(components(links), "labels")
-    one = labels.toDF("a", "la")
-    two = labels.toDF("b", "lb")
     contracted = (
-        links.join(one, "a", "left")
-        .join(two, "b", "left")
+        links.join(labels.toDF("a", "la"), "a", "left")
+        .join(labels.toDF("b", "lb"), "b", "left")
         .select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
     )
-    lifted = stored(components(contracted), "lifted").toDF("label", "top")
+    lifted = stored(components(stored(contracted, "contracted")), "lifted").toDF("label", "top")
     moved = labels.join(lifted, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
     fresh = lifted.join(labels.select(F.col("node").alias("label")), "label", "left_anti").toDF("node", "label")
-    return stored(moved.union(fresh), "labels")
+    return moved.union(fresh)
 
 
 def node_labels(docs: DataFrame, nodes: DataFrame, least: float) -> DataFrame | None:
-    """``(node, label)`` of the nodes with a link; None if no two nodes share a bucket."""
+    """``(node, label)`` of the nodes with a link; None if there is no link."""
     wide = nodes.select("node", "bands", *[F.col("sketch")[i].alias(c) for i, c in enumerate(_SKETCH)])
     placed = wide.select(F.explode("bands").alias("bucket"), "node")
     busy = placed.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo != hi")
     met = placed.join(busy.select("bucket"), "bucket", "left_semi")
-    members = stored(met.join(wide.drop("bands"), "node"), "members")
+    members = stored(met.join(wide, "node"), "members")
     if members.isEmpty():
         return None
     involved = members.select("node").distinct()
     vectors = _vectors(docs, nodes.join(involved, "node", "left_semi"))
-    labels: DataFrame | None = None
-    tried: DataFrame | None = None
-    for turn in range(PIVOT_ROUNDS + 1):
-        if labels is None:
-            split = members.withColumn("label", F.col("node"))
-        else:
-            split = stored(_open(members, labels), "open")
-        if turn < PIVOT_ROUNDS:
-            pairs = _pivot_pairs(split, turn, PIVOTS_PER_NODE, least)
-        else:  # what several pivots left apart: across components only
-            pairs = _cross_pairs(split, least)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        if pairs.isEmpty():
-            if turn < PIVOT_ROUNDS and not split.isEmpty():
-                continue
-            break
-        tried = pairs if tried is None else tried.union(pairs)
-        links = stored(_verified(pairs, vectors, least), "verified")
-        if not links.isEmpty():
-            labels = _merged(labels, links)
-    return labels
+    pairs = stored(_pivot_pairs(members.drop("bands"), PIVOTS_PER_NODE, least), "pairs")
+    links = stored(_verified(pairs, vectors, least), "verified")
+    labels = stored(components(links), "labels")
+    # what the pivots left apart
+    rest = _cross_pairs(stored(_open(members, labels), "open"), least)
+    more = stored(_verified(rest.join(pairs, ["a", "b"], "left_anti"), vectors, least), "verified")
+    if more.isEmpty():
+        return labels
+    return stored(_merged(labels, more), "labels")
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
