@@ -2,10 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Hashable
 from typing import Generic, TypeVar
 
 Value = TypeVar("Value")
 
+_HELD: dict[Hashable, object] = {}
+
+
+def held(key: Hashable, make: Callable[[], Value]) -> Value:
+    """What ``make`` gave for this key in this worker process. Only the last key's is kept, so that
+    what one operator has cached does not stay in memory while the next one runs."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def release() -> None:
+    """For operators that hold nothing: drops what an earlier one has cached in this worker."""
+    _HELD.clear()
+
+
 #: Entries after which a generation ends.
 CACHE_LIMIT = 350_000
 

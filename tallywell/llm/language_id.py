@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallywell.llm.cache import release
 from tallywell.llm.common import bounded_sample, ship_package
 
 UNKNOWN = "und"
@@ -181,6 +182,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     ship_package(docs.sparkSession)
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         for batch in batches:
             answers = [model.predict(text) for text in batch["text"]]
             out = pd.DataFrame(answers, columns=["nearest", "score", "rejected"])

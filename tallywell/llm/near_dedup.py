@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallywell.llm.cache import release
 from tallywell.llm.common import row_key, rows_with_keys, ship_package, stored
 from tallywell.llm.components import components
 
@@ -181,6 +182,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     keys and four bits of each coordinate."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             prints, bands, sketches = [], [], []
             for text in batch.column(2):

@@ -9,14 +9,13 @@ tokens of their own, as is the library's default.
 
 from __future__ import annotations
 
-import functools
 import re
 
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from tallywell.llm.cache import GenerationCache
+from tallywell.llm.cache import GenerationCache, held
 
 VOCABULARY = "word_bpe_49k.json"
 #: Fixed value: the splitting pattern of the file, for texts of plain characters.
@@ -105,10 +104,9 @@ def _byte_chars() -> dict[int, str]:
 _BYTE_CHARS = _byte_chars()
 
 
-@functools.lru_cache(maxsize=4)
 def pretokenizer(path: str) -> PreTokenizer:
     """One instance per worker process and file: its caches outlive a task."""
-    return PreTokenizer(path)
+    return held(("pretokens", path), lambda: PreTokenizer(path))
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:

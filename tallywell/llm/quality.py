@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallywell.llm.cache import release
 from tallywell.llm.common import labelled_sample, ship_package
 
 SAMPLE_PER_LABEL = 6000
@@ -178,6 +179,7 @@ def fit(docs: DataFrame, marks: DataFrame, label: str = "quality", sample: int =
     chosen = labelled_sample(docs, marks.filter(F.col(label).isin(0, 1)), label, sample, _SEED)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         for batch in batches:
             values = [np.array(statistics(text), np.float64).tobytes() for text in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "label": batch["label"].to_numpy(), "x": values})

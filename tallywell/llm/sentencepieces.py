@@ -19,7 +19,6 @@ they come. Models with character maps, control pieces within texts or user-defin
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import math
 import re
@@ -31,7 +30,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tallywell.llm.cache import GenerationCache
+from tallywell.llm.cache import GenerationCache, held
 from tallywell.llm.common import ship_package
 
 MODEL = "piece_bpe_32k.model"
@@ -210,10 +209,9 @@ class Transducer:
 _UNITS = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 
 
-@functools.lru_cache(maxsize=2)
 def transducer(path: str) -> Transducer:
     """One instance per worker process and model file."""
-    return Transducer(path)
+    return held(("pieces", path), lambda: Transducer(path))
 
 
 def model_path(name: str = MODEL) -> str:

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywell.llm.cache import GenerationCache
+from tallywell.llm.cache import GenerationCache, held
 from tallywell.llm.common import labelled_sample, ship_package
 
 SAMPLE_PER_LABEL = 4000
@@ -215,8 +215,8 @@ class Scorer:
 
     def __init__(self, machine: Machine) -> None:
         self.machine = machine
-        self.raw: GenerationCache[float] = GenerationCache(500_000)
-        self.plain: GenerationCache[float] = GenerationCache(600_000)
+        self.raw: GenerationCache[float] = GenerationCache(400_000)
+        self.plain: GenerationCache[float] = GenerationCache(500_000)
 
     def words(self, words: list[str]) -> list[float]:
         found = list(map(self.raw.new.get, words))
@@ -263,15 +263,9 @@ class Scorer:
         return rows
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def scorer_of(machine: Machine) -> Scorer:
-    """The worker's scorer for this machine; that of an earlier machine is dropped."""
-    if machine.name not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[machine.name] = Scorer(machine)
-    return _SCORERS[machine.name]
+    """The worker's scorer for this machine."""
+    return held(machine.name, lambda: Scorer(machine))
 
 
 @dataclass
