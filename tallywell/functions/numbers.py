@@ -32,9 +32,3 @@ def parse_number(text: Column, strict: bool = True) -> Column:
 
 def is_numeric(field: T.StructField) -> bool:
     return isinstance(field.dataType, T.NumericType)
-
-
-def sample_stddev(count: Column, total: Column, total_squares: Column) -> Column:
-    """Sample standard deviation from power sums; NULL below two values."""
-    spread = total_squares - total * total / count
-    return F.when(count > 1, F.sqrt(F.greatest(spread, F.lit(0.0)) / (count - 1)))

@@ -132,11 +132,3 @@ def since_month(column: Column, since: str | date) -> Column:
     stays pushable.
     """
     return column >= month_literal(since)
-
-
-def broadcastable_grain(grain: str) -> bool:
-    """Whether the calendar alone bounds the period count low enough to broadcast a row each.
-
-    From the hour up: 8,784 hours a year, so some tens of megabytes for decades.
-    """
-    return grain_name(grain) not in ("SECOND", "MINUTE")

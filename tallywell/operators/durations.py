@@ -10,14 +10,12 @@ from pyspark.sql import functions as F
 
 from tallywell.functions.numbers import hours
 from tallywell.functions.periods import (
-    broadcastable_grain,
     month_literal,
     month_start,
     period,
 )
 from tallywell.operators.quantiles import distribution
-from tallywell.operators.totals import full_join_on
-from tallywell.sources.tables import stack, tag
+from tallywell.operators.totals import full_join_on, labelled
 
 Month = str | date
 
@@ -106,12 +104,9 @@ def mean_weighted_vs_unweighted(
     )
 
 
-def weighted_mean_by_source(sources: Mapping[str, DataFrame]) -> DataFrame:
-    """Mean over all recordings per source and month."""
-    rows = stack(
-        tag(df.select(month_start(df).alias("month"), "total_duration_sec", "num_tracks"), label)
-        for label, df in sources.items()
-    )
+def weighted_mean_by_source(sources: Mapping[str, DataFrame] | DataFrame) -> DataFrame:
+    """Mean over all recordings per source and month; see ``totals.labelled`` for ``sources``."""
+    rows = labelled(sources, ["total_duration_sec", "num_tracks"])
     return (
         rows.groupBy("source", F.date_format("month", "yyyy-MM").alias("month"))
         .agg((F.sum("total_duration_sec") / F.sum("num_tracks")).alias("mean_duration_sec"))
@@ -123,8 +118,8 @@ def event_stats_by_month(events: DataFrame, grain: str = "MONTH") -> DataFrame:
     """Maximum, mean and exact median duration per period, from the events.
 
     All four come out of the quantile job: the moments ride along with its first
-    step, and no period's rows are ever gathered in one task. Periods whose
-    durations are all NULL are left out.
+    step, and no period's rows are ever gathered in one task. A period whose
+    durations are all NULL has NULL statistics.
     """
     rows = events.select(
         period(events, "event_timestamp", grain).alias("period"),
@@ -136,7 +131,6 @@ def event_stats_by_month(events: DataFrame, grain: str = "MONTH") -> DataFrame:
         "duration_sec",
         moments=("n", "total", "highest"),
         quantile="median_duration_sec",
-        broadcast_targets=broadcastable_grain(grain),
     )
     return spread.select(
         "period",

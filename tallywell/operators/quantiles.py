@@ -2,16 +2,15 @@
 
 ``F.percentile`` keeps every distinct value of a group in one task's memory. A
 month of events can be most of the table, so that does not scale. Here the
-wanted rank is located in three narrowing steps, each an ordinary grouped
-count:
+wanted rank is located by counting:
 
-1. cells of about 1/128 relative width (at most 181,000 for all doubles),
-2. 2**21 equal cells inside the cell the rank fell in,
-3. the distinct values inside that finer cell (at most 2**24 doubles above 1).
+1. cells of about 1/128 relative width over the whole double range,
+2. the distinct values inside the one or two cells that hold the rank, counted once;
+   2**21 equal cells over each of these find the finer cell of the rank, and the same
+   counts, restricted to it, the value (at most 2**26 doubles to a finer cell).
 
-Each step reads the rows, combines them map-side into cell counts, runs a
-running count over the cells of a group and keeps the one or two cells holding
-the rank. No task ever sees a group's rows, only its cells.
+The rows are read twice and combined map-side; only values inside located cells are
+shuffled by value. No task ever sees a group's rows, only its cells.
 """
 
 from __future__ import annotations
@@ -24,16 +23,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CELLS_PER_E_FOLD = 128  # some thousand cells per group: small hash tables, small shuffles
-LARGEST_LOG = 1000.0  # above log1p of the largest double (709.8); infinity is put here
+LEAST_LOG = -746.0  # below the logarithm of the smallest double
+LARGEST_LOG = 710.0  # above that of the largest; infinity is put here
 FINE_CELLS = 1 << 21
 
 
 def _coarse_cell(x: Column) -> Column:
-    """Order-preserving cell number; NaN sorts above everything, as in Spark."""
-    size = F.floor(F.least(F.log1p(F.abs(x)), F.lit(LARGEST_LOG)) * F.lit(CELLS_PER_E_FOLD))
-    above_all = int(2 * LARGEST_LOG * CELLS_PER_E_FOLD)
+    """Order-preserving cell number; NaN sorts above everything, as in Spark. Cells are
+    logarithmic on both sides of zero, which has its own."""
+    log = F.least(F.ln(F.abs(x)), F.lit(LARGEST_LOG)) - F.lit(LEAST_LOG)
+    size = F.floor(log * F.lit(CELLS_PER_E_FOLD)) + F.lit(1).cast("bigint")
+    above_all = int(2 * (LARGEST_LOG - LEAST_LOG) * CELLS_PER_E_FOLD)
     return (
         F.when(F.isnan(x), F.lit(above_all).cast("bigint"))
+        .when(x == 0, F.lit(0).cast("bigint"))
         .when(x < 0, -size)
         .otherwise(size)
     )
@@ -56,29 +59,19 @@ def _running_before(before: Column, partition: Sequence[str], order: str) -> Col
     return before + F.sum("_count").over(upto) - F.col("_count")
 
 
-def _inside(rows: DataFrame, located: DataFrame, keys: Sequence[str], small: bool) -> DataFrame:
-    """Rows in the located cells: cells keep order, so their value range tells.
-
-    Small ``located`` tables are broadcast and looked up by group; otherwise the
-    coarse cell joins the shuffle key, which spreads the rows of a large group.
-    The comparisons are null-safe, so NULL keys stay groups; they also infer no
-    IS NOT NULL filter, which would make the three reads of ``rows`` differ and
-    keep Spark from sharing the shuffle under them.
-    """
-    tests = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
-    if not small:
-        tests.append(F.col("_coarse").eqNullSafe(F.col("_cell")))
-    tests.append(F.expr("_x >= _lo AND _x <= _hi"))
-    return rows.join(F.broadcast(located) if small else located, reduce(and_, tests))
+def _same(keys: Sequence[str], prefix: str) -> list[Column]:
+    """Null-safe, so NULL keys stay groups."""
+    return [F.col(k).eqNullSafe(F.col(f"{prefix}{k}")) for k in keys]
 
 
 # Moments of a whole group, as window aggregates over its coarse cells.
 MOMENTS = {
+    "rows": "sum(_rows)",
     "n": "sum(_count)",
     "total": "sum(_sum)",
-    "total_squares": "sum(_squares)",
     "lowest": "min(_lo)",
     "highest": "max(_hi)",
+    "stddev": "sum(_spread)",
 }
 
 
@@ -87,95 +80,94 @@ def distribution(
     keys: Sequence[str],
     value: str,
     q: float = 0.5,
-    weight: str | None = None,
     moments: Sequence[str] = tuple(MOMENTS),
     sums: Mapping[str, Column] | None = None,
     quantile: str = "quantile",
-    broadcast_targets: bool = False,
 ) -> DataFrame:
     """Per group: the asked ``moments``, the ``sums`` and the exact quantile.
 
-    NULL values are ignored; a group without values is left out. ``weight``
-    counts how often a row stands for its value (rows already grouped by value).
-    ``sums`` are extra sum-able columns of ``rows``. Moments and sums come from
-    the first step, so they cost no extra pass.
-
-    ``broadcast_targets`` may be set when the number of groups has a proven
-    bound (calendar periods, months by nation); otherwise the cell filter is a
-    plain join that Spark plans by size and splits when skewed.
+    NULL values are no values, but their rows count in ``rows`` and ``sums``; a group
+    without values has NULL statistics. ``sums`` are extra sum-able columns of ``rows``.
+    Moments and sums come from the first step. ``stddev`` merges the cells' own
+    spreads around their own means, so large offsets do not cancel it.
     """
+    if "stddev" in moments and "n" not in moments:
+        raise ValueError("stddev needs n")
     keys, extra = list(keys), dict(sums or {})
-    x, times, count = F.col("_x"), F.col("_times"), F.col("_count")
-    one = F.lit(1).cast("bigint") if weight is None else F.col(weight)
+    x, count = F.col("_x"), F.col("_count")
     number = F.col(value).cast("double")
-    base = rows.filter(F.col(value).isNotNull()).select(
+    base = rows.select(
         *keys,
         number.alias("_x"),
-        one.alias("_times"),
         _coarse_cell(number).alias("_coarse"),
         *[column.alias(name) for name, column in extra.items()],
     )
-    renamed_keys = [F.col(k).alias(f"_k_{k}") for k in keys]
 
-    # Step 1: coarse cells, carrying the moments of the whole group along.
+    # Step 1: coarse cells (NULL values have their own), carrying the moments of the group along.
     cells = base.groupBy(*keys, "_coarse").agg(
-        F.expr("sum(_times) AS _count"),
+        F.expr("count(*) AS _rows"),
+        F.expr("count(_x) AS _count"),
         F.expr("min(_x) AS _lo"),
         F.expr("max(_x) AS _hi"),
-        F.expr("sum(_x * _times) AS _sum"),
-        F.expr("sum(_x * _x * _times) AS _squares"),
+        F.expr("sum(_x) AS _sum"),
+        *([F.expr("var_pop(_x) AS _var")] if "stddev" in moments else []),
         *[F.sum(name).alias(name) for name in extra],
     )
     group = Window.partitionBy(*keys)
+    if "stddev" in moments:
+        mean = F.sum("_sum").over(group) / F.nullif(F.sum("_count").over(group), F.lit(0))
+        cells = cells.withColumn("_spread", count * (F.col("_var") + F.pow(F.col("_sum") / F.nullif(count, F.lit(0)) - mean, 2)))
     over_group = {m: F.expr(MOMENTS[m]) for m in moments} | {name: F.sum(name) for name in extra}
     carried = ["_pos", *[f"_g_{name}" for name in over_group]]
-    located = (
-        cells.select(
-            *renamed_keys,
-            F.col("_coarse").alias("_cell"),
-            "_count", "_lo", "_hi",
-            _running_before(F.lit(0), keys, "_coarse").alias("_before"),
-            (F.lit(float(q)) * (F.sum("_count").over(group) - 1)).alias("_pos"),
-            *[agg.over(group).alias(f"_g_{name}") for name, agg in over_group.items()],
-        )
-        .filter(_covers_rank(F.col("_before"), count))
-        .drop("_count")
+    whole = cells.select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys],
+        F.col("_coarse").alias("_cell"),
+        "_count", "_lo", "_hi",
+        _running_before(F.lit(0), keys, "_coarse").alias("_before"),
+        F.sum("_count").over(group).alias("_n"),
+        (F.lit(float(q)) * (F.sum("_count").over(group) - 1)).alias("_pos"),
+        *[agg.over(group).alias(f"_g_{name}") for name, agg in over_group.items()],
+    )
+    located = whole.filter(F.col("_cell").isNotNull() & _covers_rank(F.col("_before"), count)).drop("_count", "_n")
+    # Implied by _n = 0; with the same columns in use, both share one exchange of the cells.
+    without = whole.filter("_n = 0 AND _lo IS NULL AND _hi IS NULL")
+
+    # Step 2: distinct values inside the located coarse cells. The coarse cell joins the key,
+    # which spreads the rows of a large group. What is carried is the same for every row of a
+    # coarse cell, so any aggregate keeps it.
+    inside = [*_same(keys, "_k_"), F.col("_coarse") == F.col("_cell")]
+    values = (
+        base.select(*keys, "_x", "_coarse")
+        .filter("_x IS NOT NULL")
+        .join(located, reduce(and_, inside))
+        .groupBy(*keys, "_cell", _fine_cell(x, F.col("_lo"), F.col("_hi")).alias("_fine"), "_x")
+        .agg(F.expr("count(*) AS _count"), *[F.expr(f"max({c}) AS {c}") for c in ("_before", *carried)])
     )
-
-    # Step 2: fine cells inside the located coarse cells. What is carried is the
-    # same for every row of a coarse cell, so any aggregate keeps it.
-    narrow = base.select(*keys, "_x", "_times", "_coarse")
     fine = (
-        _inside(narrow, located, keys, broadcast_targets)
-        .groupBy(*keys, "_cell", _fine_cell(x, F.col("_lo"), F.col("_hi")).alias("_fine"))
-        .agg(
-            F.expr("sum(_times) AS _count"),
-            F.expr("min(_x) AS _lo"),
-            F.expr("max(_x) AS _hi"),
-            *[F.expr(f"max({c}) AS {c}") for c in ("_before", *carried)],
-        )
+        values.groupBy(*keys, "_cell", "_fine")
+        .agg(F.expr("sum(_count) AS _count"), *[F.expr(f"max({c}) AS {c}") for c in ("_before", *carried)])
         .select(
-            *renamed_keys,
-            "_cell", "_fine", "_count", "_lo", "_hi", *carried,
-            _running_before(F.col("_before"), [*keys, "_cell"], "_fine").alias("_before"),
+            *[F.col(k).alias(f"_f_{k}") for k in keys],
+            F.col("_cell").alias("_f_cell"),
+            F.col("_fine").alias("_f_fine"),
+            "_count", "_pos",
+            *[F.col(c).alias(f"_c{c}") for c in carried],
+            _running_before(F.col("_before"), [*keys, "_cell"], "_fine").alias("_f_before"),
         )
-        .filter(_covers_rank(F.col("_before"), count))
-        .drop("_count")
+        .filter(_covers_rank(F.col("_f_before"), count))
+        .drop("_count", "_pos")
     )
 
-    # Step 3: distinct values inside the located fine cells. A group's located cells
-    # follow each other, so one running count per group covers them, and the
-    # last aggregation finds its rows already together.
+    # A group's located cells follow each other, so one running count per group covers them.
+    # Reading the carried columns on both sides (they agree) lets both share one exchange of values.
+    first_rank = F.greatest("_f_before", "_before")
+    finer = [*_same(keys, "_f_"), F.col("_cell") == F.col("_f_cell"), F.col("_fine") == F.col("_f_fine")]
     inner = (
-        _inside(narrow, fine, keys, broadcast_targets)
-        .groupBy(*keys, "_cell", "_fine", "_x")
-        .agg(
-            F.expr("sum(_times) AS _count"),
-            *[F.expr(f"max({c}) AS {c}") for c in ("_before", *carried)],
-        )
+        values.join(fine, reduce(and_, finer))
         .select(
-            *keys, "_x", "_count", *carried,
-            _running_before(F.min("_before").over(group), keys, "_x").alias("_before"),
+            *keys, "_x", "_count",
+            *[F.coalesce(c, f"_c{c}").alias(c) for c in carried],
+            _running_before(F.min(first_rank).over(group), keys, "_x").alias("_before"),
         )
         .filter(_covers_rank(F.col("_before"), count))
     )
@@ -183,11 +175,21 @@ def distribution(
         F.min(x).alias("_low"), F.max(x).alias("_high"), *[F.expr(f"max({c}) AS {c}") for c in carried]
     )
     between = F.expr("_low + (_high - _low) * (_pos - floor(_pos))")
-    return picked.select(
+    found = picked.select(
         *keys,
         *[F.col(f"_g_{name}").alias(name) for name in over_group],
         F.when(F.expr("_low = _high"), F.col("_low")).otherwise(between).alias(quantile),
+    ).unionByName(
+        without.select(
+            *[F.col(f"_k_{k}").alias(k) for k in keys],
+            *[F.col(f"_g_{name}").alias(name) for name in over_group],
+            F.lit(None).cast("double").alias(quantile),
+        )
     )
+    if "stddev" not in moments:
+        return found
+    known = F.col("n")
+    return found.withColumn("stddev", F.when(known > 1, F.sqrt(F.col("stddev") / (known - 1))))
 
 
 def exact_quantile(
@@ -196,9 +198,7 @@ def exact_quantile(
     value: str,
     q: float = 0.5,
     alias: str = "quantile",
-    broadcast_targets: bool = False,
 ) -> DataFrame:
-    """``keys`` and the exact interpolated quantile of ``value`` per group."""
-    return distribution(
-        rows, keys, value, q, moments=(), quantile=alias, broadcast_targets=broadcast_targets
-    )
+    """``keys`` and the exact interpolated quantile of ``value`` per group that has values."""
+    found = distribution(rows, keys, value, q, moments=(), quantile=alias)
+    return found.filter(F.col(alias).isNotNull())

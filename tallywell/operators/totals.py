@@ -14,8 +14,14 @@ from tallywell.functions.periods import month_literal, month_start, since_month
 from tallywell.sources.tables import stack, tag
 
 
-def _labelled(sources: Mapping[str, DataFrame], columns: Sequence[str]) -> DataFrame:
-    """All sources stacked, reduced to month and ``columns``."""
+Labelled = Mapping[str, DataFrame] | DataFrame
+
+
+def labelled(sources: Labelled, columns: Sequence[str]) -> DataFrame:
+    """All sources as one frame of ``source``, month and ``columns``: a frame per source, or one that
+    holds them all with a ``source`` column (and is read once)."""
+    if isinstance(sources, DataFrame):
+        return sources.select("source", month_start(sources).alias("month"), *columns)
     return stack(
         tag(df.select(month_start(df).alias("month"), *columns), label) for label, df in sources.items()
     )
@@ -30,73 +36,82 @@ def full_join_on(frames: Iterable[DataFrame], key: str) -> DataFrame:
     return reduce(lambda left, right: left.join(right, key, "full"), frames)
 
 
-def recording_totals_by_month(sources: Mapping[str, DataFrame], since: str | date) -> DataFrame:
+SOURCES = ("audio", "video", "livestream")
+
+
+def recording_totals_by_month(
+    sources: Labelled, since: str | date, names: Sequence[str] = SOURCES
+) -> DataFrame:
     """Tracks and seconds of every source per month, 0 where a source has no month.
 
     Equals the full outer join of one aggregate per source; stacking the sources
     and summing conditionally needs a single shuffle of partial sums.
     """
-    rows = _labelled(sources, ["num_tracks", "total_duration_sec"])
+    names = names if isinstance(sources, DataFrame) else list(sources)
+    rows = labelled(sources, ["num_tracks", "total_duration_sec"])
     zero_tracks, zero_seconds = F.lit(0).cast("bigint"), F.lit(0.0)
     return (
         rows.filter(since_month(F.col("month"), since))
         .groupBy("month")
         .agg(
-            *[F.coalesce(_sum_of(s, "num_tracks"), zero_tracks).alias(f"{s}_tracks") for s in sources],
+            *[F.coalesce(_sum_of(s, "num_tracks"), zero_tracks).alias(f"{s}_tracks") for s in names],
             *[
                 F.coalesce(_sum_of(s, "total_duration_sec"), zero_seconds).alias(f"{s}_duration_sec")
-                for s in sources
+                for s in names
             ],
         )
         .orderBy("month")
     )
 
 
-def recording_grand_totals(sources: Mapping[str, DataFrame]) -> DataFrame:
+def recording_grand_totals(sources: Labelled, names: Sequence[str] = SOURCES) -> DataFrame:
     """One row: total tracks and hours of every source."""
-    rows = _labelled(sources, ["num_tracks", "total_duration_sec"])
+    names = names if isinstance(sources, DataFrame) else list(sources)
+    rows = labelled(sources, ["num_tracks", "total_duration_sec"])
     return rows.agg(
-        *[_sum_of(s, "num_tracks").alias(f"{s}_tracks") for s in sources],
-        *[hours(_sum_of(s, "total_duration_sec")).alias(f"{s}_hours") for s in sources],
+        *[_sum_of(s, "num_tracks").alias(f"{s}_tracks") for s in names],
+        *[hours(_sum_of(s, "total_duration_sec")).alias(f"{s}_hours") for s in names],
     )
 
 
-def recording_lookup_by_source(
-    sources: Mapping[str, DataFrame], month: str | date, country: str
-) -> DataFrame:
+def recording_lookup_by_source(sources: Labelled, month: str | date, country: str) -> DataFrame:
     """One month and country, a row per source that has it."""
-    found = [
-        tag(
-            df.filter((month_start(df) == month_literal(month)) & (F.col("country") == country)).select(
-                "country", month_start(df).alias("month"), "num_tracks", "total_duration_sec"
-            ),
-            label,
-        )
-        for label, df in sources.items()
-    ]
-    return stack(found).orderBy("source")
+    rows = labelled(sources, ["country", "num_tracks", "total_duration_sec"])
+    return (
+        rows.filter((F.col("month") == month_literal(month)) & (F.col("country") == country))
+        .select("source", "country", "month", "num_tracks", "total_duration_sec")
+        .orderBy("source")
+    )
 
 
 def three_source_vs_reference_delta(
-    sources: Mapping[str, tuple[DataFrame, str]],
+    sources: Mapping[str, tuple[DataFrame, str]] | tuple[DataFrame, str],
     reference: DataFrame,
     reference_columns: Mapping[str, str],
     since: str | date,
 ) -> DataFrame:
     """Per month and label: value from its own table, value from the reference, delta.
 
-    ``sources`` gives each label its table and value column,
-    ``reference_columns`` the matching column of ``reference``. Months come from
+    ``sources`` gives each label its table and value column, or one table with a ``source`` column
+    and its value column; ``reference_columns`` the matching column of ``reference``. Months come from
     the sources (missing values 0); a month the reference lacks leaves its value
     and the delta NULL.
     """
-    own = full_join_on(
-        (
-            df.groupBy(month_start(df).alias("month")).agg(F.sum(column).alias(f"{label}_from_sources"))
-            for label, (df, column) in sources.items()
-        ),
-        "month",
-    ).fillna(0, [f"{label}_from_sources" for label in sources])
+    if isinstance(sources, tuple):
+        table, value = sources
+        sources = dict.fromkeys(reference_columns)
+        own = labelled(table, [value]).groupBy("month").agg(
+            *[_sum_of(label, value).alias(f"{label}_from_sources") for label in sources]
+        )
+    else:
+        own = full_join_on(
+            (
+                df.groupBy(month_start(df).alias("month")).agg(F.sum(column).alias(f"{label}_from_sources"))
+                for label, (df, column) in sources.items()
+            ),
+            "month",
+        )
+    own = own.fillna(0, [f"{label}_from_sources" for label in sources])
     theirs = reference.groupBy(month_start(reference).alias("month")).agg(
         *[F.sum(reference_columns[label]).alias(f"{label}_from_reference") for label in sources]
     )
@@ -111,11 +126,13 @@ def three_source_vs_reference_delta(
 def numeric_columns(df: DataFrame, columns: Sequence[str] | None = None) -> list[str]:
     """Numeric columns other than the month, in schema order, or those asked for."""
     numeric = [f.name for f in df.schema.fields if is_numeric(f) and f.name != "month"]
+    if unknown := set(columns or ()) - set(df.columns):
+        raise ValueError(f"no such columns: {', '.join(sorted(unknown))}")
     return numeric if columns is None else [c for c in numeric if c in columns]
 
 
 def numeric_totals_by_month(
-    tables: Mapping[str, DataFrame],
+    tables: Labelled,
     start: str | date,
     end: str | date,
     columns: Sequence[str] | None = None,
@@ -125,6 +142,15 @@ def numeric_totals_by_month(
     Tables without a numeric column are left out. Sums of means or medians carry
     no meaning; ``columns`` picks the ones that do.
     """
+    if isinstance(tables, DataFrame):
+        wanted = numeric_columns(tables, columns)
+        month = month_start(tables)
+        return (
+            tables.filter(month.between(month_literal(start), month_literal(end)))
+            .groupBy("source", F.date_format(month, "yyyy-MM").alias("month"))
+            .agg(*[F.sum(c).alias(c) for c in wanted])
+            .orderBy("source", "month")
+        )
     parts = []
     for label, df in tables.items():
         wanted = numeric_columns(df, columns)
@@ -140,10 +166,11 @@ def numeric_totals_by_month(
     return stack(parts, allow_missing=True).orderBy("source", "month")
 
 
-def numeric_grand_totals(
-    tables: Mapping[str, DataFrame], columns: Sequence[str] | None = None
-) -> DataFrame:
+def numeric_grand_totals(tables: Labelled, columns: Sequence[str] | None = None) -> DataFrame:
     """SUM of every numeric column per table over all months; tables without one are left out."""
+    if isinstance(tables, DataFrame):
+        wanted = numeric_columns(tables, columns)
+        return tables.groupBy("source").agg(*[F.sum(c).alias(c) for c in wanted]).orderBy("source")
     wanted = {label: numeric_columns(df, columns) for label, df in tables.items()}
     return stack(
         (
@@ -166,12 +193,25 @@ def preferred_column(df: DataFrame, prefer: Sequence[str] = COUNT_COLUMNS) -> st
 
 
 def six_source_trend(
-    tables: Mapping[str, DataFrame],
+    tables: Labelled,
     start: str | date,
     end: str | date,
     prefer: Sequence[str] = COUNT_COLUMNS,
+    names: Sequence[str] = (),
 ) -> DataFrame:
-    """Month by source, the preferred count of each table, 0 where missing."""
+    """Month by source, the preferred count of each table, 0 where missing. A single labelled table
+    has NULL in the columns that a source lacks; ``names`` are its sources."""
+    if isinstance(tables, DataFrame):
+        month = month_start(tables)
+        rows = tables.filter(month.between(month_literal(start), month_literal(end))).select(
+            "source",
+            F.date_format(month, "yyyy-MM").alias("month"),
+            F.coalesce(*[c for c in prefer if c in tables.columns]).alias("val"),
+        )
+        zero = F.lit(0).cast(rows.schema["val"].dataType)
+        return (
+            rows.groupBy("month").agg(*[F.coalesce(_sum_of(n, "val"), zero).alias(n) for n in names]).orderBy("month")
+        )
     parts = []
     for label, df in tables.items():
         column = preferred_column(df, prefer)

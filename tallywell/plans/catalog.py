@@ -46,41 +46,35 @@ class ReportTables:
     def raw(self) -> DataFrame:
         return star.raw_events(self.table("events"))
 
-    def _people(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+    def people(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         return self.table("orders"), self.table("customer"), self.table("nation")
 
-    # A month range given here prunes the scan, so the operators need not filter
-    # again: their filter would reach one of the quantile steps only and keep the
-    # steps from sharing a shuffle.
+    # A month range given here prunes the scan.
 
     def monthly(self, source: str, start=None, end=None, median: bool = True) -> DataFrame:
-        return star.recordings_monthly(*self._people(), source, start, end, median)
+        return star.recordings_monthly(*self.people(), source, start, end, median)
+
+    def by_source(self, sources=SOURCES, start=None, end=None) -> DataFrame:
+        return star.recordings_by_source(*self.people(), sources, start, end)
+
+    def monthly_of_events(self, source: str) -> DataFrame:
+        """The recordings table from the events, and that of one month of orders, which has no events."""
+        customer, nation = self.table("customer"), self.table("nation")
+        return stack(
+            [
+                star.events_monthly(self.table("events"), customer, nation, source),
+                self.monthly(source, S.LOOKUP_MONTH, S.LOOKUP_NEXT),
+            ]
+        )
 
     def users(self, start=None, end=None) -> DataFrame:
-        return star.active_users_monthly(*self._people(), start, end)
-
-    def users_of(self, source: str) -> DataFrame:
-        return star.active_users_of_source(*self._people(), source)
-
-    def transfers(self, start=None, end=None) -> dict[str, DataFrame]:
-        lines = self.table("lineitem")
-        return {
-            "audio_imports": star.imports_monthly(lines, "audio", start, end),
-            "audio_exports": star.exports_monthly(lines, "audio", start, end),
-            "video_imports": star.imports_monthly(lines, "video", start, end),
-            "video_exports": star.exports_monthly(lines, "video", start, end),
-        }
-
-    def trend_tables(self, start=None, end=None) -> dict[str, DataFrame]:
-        lines, moved = self.table("lineitem"), self.transfers(start, end)
-        return {
-            "audio_recording": star.tracks_monthly(lines, "audio", start, end),
-            "audio_imports": moved["audio_imports"],
-            "audio_exports": moved["audio_exports"],
-            "video_recording": star.tracks_monthly(lines, "video", start, end),
-            "video_imports": moved["video_imports"],
-            "video_exports": moved["video_exports"],
-        }
+        return star.active_users_monthly(*self.people(), start, end)
+
+    def users_by_source(self) -> DataFrame:
+        return star.active_users_by_source(*self.people())
+
+    def transfers(self, start=None, end=None, tracks: bool = False) -> DataFrame:
+        return star.transfers_by_source(self.table("lineitem"), start, end, tracks)
 
 
 def portable(df: DataFrame, places: Mapping[str, int] | None = None, default: int = 6) -> DataFrame:
@@ -169,25 +163,24 @@ def active_users_lookup(t: ReportTables) -> DataFrame:
 
 @query(default=2)
 def recording_totals_by_month(t: ReportTables) -> DataFrame:
-    sources = {s: t.monthly(s, start=S.SINCE_DAY, median=False) for s in SOURCES}
-    return totals.recording_totals_by_month(sources, S.SINCE)
+    return totals.recording_totals_by_month(t.by_source(start=S.SINCE_DAY), S.SINCE)
 
 
 @query(default=4)
 def recording_grand_totals(t: ReportTables) -> DataFrame:
-    return totals.recording_grand_totals({s: t.monthly(s, median=False) for s in SOURCES})
+    return totals.recording_grand_totals(t.by_source())
 
 
 @query(default=2)
 def recording_lookup_by_source(t: ReportTables) -> DataFrame:
-    sources = {s: t.monthly(s, S.LOOKUP_MONTH, S.LOOKUP_NEXT, median=False) for s in SOURCES}
+    sources = t.by_source(start=S.LOOKUP_MONTH, end=S.LOOKUP_NEXT)
     return totals.recording_lookup_by_source(sources, S.LOOKUP_MONTH, S.LOOKUP_COUNTRY)
 
 
 @query()
 def three_source_vs_reference_delta(t: ReportTables) -> DataFrame:
     return totals.three_source_vs_reference_delta(
-        {s: (t.users_of(s), "active_users") for s in SOURCES},
+        (t.users_by_source(), "active_users"),
         t.users(),
         {s: f"active_{s}_users" for s in SOURCES},
         S.SINCE,
@@ -216,8 +209,9 @@ def numeric_grand_totals(t: ReportTables) -> DataFrame:
 
 @query()
 def six_source_trend(t: ReportTables) -> DataFrame:
-    tables = t.trend_tables(S.FIRST_MONTH, S.AFTER_LAST_MONTH)
-    return totals.six_source_trend(tables, S.FIRST_MONTH, S.LAST_MONTH)
+    tables = t.transfers(S.FIRST_MONTH, S.AFTER_LAST_MONTH, tracks=True)
+    names = [f"{s}_{kind}" for s in ("audio", "video") for kind in ("recording", "imports", "exports")]
+    return totals.six_source_trend(tables, S.FIRST_MONTH, S.LAST_MONTH, names=names)
 
 
 @query(default=4)
@@ -227,7 +221,8 @@ def top_countries(t: ReportTables) -> DataFrame:
 
 @query(default=4)
 def ordered_sample(t: ReportTables) -> DataFrame:
-    return totals.ordered_sample(t.monthly("audio"))
+    first = star.recordings_sample(*t.people(), "audio", n=10)
+    return totals.ordered_sample(first)
 
 
 # --- durations --------------------------------------------------------------------------
@@ -257,30 +252,30 @@ def max_hours_by_day_events(t: ReportTables) -> DataFrame:
 @query(default=4)
 def mean_approx_median_by_month(t: ReportTables) -> DataFrame:
     monthly = t.monthly("audio", S.FIRST_MONTH, S.AFTER_LAST_MONTH)
-    return durations.mean_approx_median_by_month(monthly)
+    return durations.mean_approx_median_by_month(monthly, S.FIRST_MONTH, S.LAST_MONTH)
 
 
 @query(default=4)
 def mean_exact_median_by_month(t: ReportTables) -> DataFrame:
     monthly = t.monthly("audio", S.FIRST_MONTH, S.AFTER_LAST_MONTH)
-    return durations.mean_exact_median_by_month(monthly)
+    return durations.mean_exact_median_by_month(monthly, S.FIRST_MONTH, S.LAST_MONTH)
 
 
 @query(default=4)
 def mean_median_aggregate_form(t: ReportTables) -> DataFrame:
     monthly = t.monthly("video", S.FIRST_MONTH, S.AFTER_LAST_MONTH)
-    return durations.mean_median_aggregate_form(monthly)
+    return durations.mean_median_aggregate_form(monthly, S.FIRST_MONTH, S.LAST_MONTH)
 
 
 @query(default=6)
 def mean_weighted_vs_unweighted(t: ReportTables) -> DataFrame:
     monthly = t.monthly("video", S.FIRST_MONTH, S.AFTER_LAST_MONTH)
-    return durations.mean_weighted_vs_unweighted(monthly)
+    return durations.mean_weighted_vs_unweighted(monthly, S.FIRST_MONTH, S.LAST_MONTH)
 
 
 @query(default=6)
 def weighted_mean_two_sources(t: ReportTables) -> DataFrame:
-    return durations.weighted_mean_by_source({s: t.monthly(s, median=False) for s in ("audio", "video")})
+    return durations.weighted_mean_by_source(t.by_source(("audio", "video")))
 
 
 @query(default=7)
@@ -305,12 +300,12 @@ def event_stats_side_by_side(t: ReportTables) -> DataFrame:
 
 @query(default=8)
 def events_vs_agg_delta(t: ReportTables) -> DataFrame:
-    return durations.events_vs_agg_delta(t.events("audio"), t.monthly("audio"))
+    return durations.events_vs_agg_delta(t.events("audio"), t.monthly_of_events("audio"))
 
 
 @query(default=8)
 def events_vs_agg_candidates(t: ReportTables) -> DataFrame:
-    return durations.events_vs_agg_candidates(t.events("audio"), t.monthly("audio"))
+    return durations.events_vs_agg_candidates(t.events("audio"), t.monthly_of_events("audio"))
 
 
 @query(places={"avg_ms": 1}, default=4)

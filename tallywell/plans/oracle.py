@@ -63,26 +63,40 @@ def _shown_histogram(rows: str, value: str = "duration_sec", count: str = "count
 
 def _monthly(source: str) -> str:
     return f"""
-      SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, n_name AS country,
+      SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, coalesce(n_name, '') AS country,
              count(*) AS num_tracks, sum(o_totalprice) AS total_duration_sec,
              min(o_totalprice) AS min_duration_sec, max(o_totalprice) AS max_duration_sec,
              avg(o_totalprice) AS mean_duration_sec, stddev_samp(o_totalprice) AS stddev_duration_sec,
              quantile_cont(o_totalprice, 0.5) AS median_duration_sec,
              count(*) FILTER (WHERE o_orderpriority = '{URGENT}') AS num_lossless
-      FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+      FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey
       WHERE o_orderstatus = '{ORDER_STATUS[source]}'
       GROUP BY 1, 2"""
 
 
+def _monthly_of_events(source: str) -> str:
+    return f"""
+      SELECT CAST(date_trunc('month', ts) AS DATE) AS month, coalesce(n_name, '') AS country,
+             count(*) AS num_tracks, sum(value * value) AS total_duration_sec,
+             avg(value * value) AS mean_duration_sec,
+             quantile_cont(value * value, 0.5) AS median_duration_sec
+      FROM events LEFT JOIN customer ON user_id = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey
+      WHERE event_type = '{EVENT_TYPES[source]}'
+      GROUP BY 1, 2
+      UNION ALL
+      SELECT month, country, num_tracks, total_duration_sec, mean_duration_sec, median_duration_sec
+      FROM ({_monthly(source)}) AS m WHERE month = DATE '{S.LOOKUP_MONTH}'"""
+
+
 def _users() -> str:
     counts = ", ".join(
         f"count(DISTINCT CASE WHEN o_orderstatus = '{status}' THEN o_custkey END) AS active_{s}_users"
         for s, status in ORDER_STATUS.items()
     )
     return f"""
-      SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, n_name AS country, {counts},
+      SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, coalesce(n_name, '') AS country, {counts},
              count(DISTINCT o_custkey) AS total_active_users
-      FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+      FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey
       GROUP BY 1, 2"""
 
 
@@ -144,8 +158,8 @@ def _three_sources() -> str:
     own = [
         f"own_{s} AS (SELECT month, CAST(sum(n) AS BIGINT) AS n FROM ("
         "SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, n_name, "
-        "count(DISTINCT o_custkey) AS n FROM orders JOIN customer ON o_custkey = c_custkey "
-        f"JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus = '{ORDER_STATUS[s]}' "
+        "count(DISTINCT o_custkey) AS n FROM orders LEFT JOIN customer ON o_custkey = c_custkey "
+        f"LEFT JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus = '{ORDER_STATUS[s]}' "
         "GROUP BY 1, 2) AS x GROUP BY month)"
         for s in SOURCES
     ]
@@ -296,7 +310,7 @@ def _events_vs_agg_delta() -> str:
       WITH ev AS ({_event_hours()}),
            agg AS (SELECT month, avg(mean_duration_sec / 3600.0) AS mean_a,
                           avg(median_duration_sec / 3600.0) AS median_a
-                   FROM ({_monthly('audio')}) AS m GROUP BY month)
+                   FROM ({_monthly_of_events('audio')}) AS m GROUP BY month)
       SELECT {_text('month')} AS month,
              {_r('mean_h', 8)} AS mean_hour_events, {_r('mean_a', 8)} AS mean_hour_agg,
              {_r('mean_h - mean_a', 8)} AS mean_delta_hours,
@@ -315,7 +329,7 @@ def _events_vs_agg_candidates() -> str:
                           quantile_disc(median_duration_sec / 3600.0, 0.5) AS median_median,
                           max(median_duration_sec) / 3600.0 AS median_max,
                           min(median_duration_sec) / 3600.0 AS median_min
-                   FROM ({_monthly('audio')}) AS m GROUP BY month)
+                   FROM ({_monthly_of_events('audio')}) AS m GROUP BY month)
       SELECT {_text('month')} AS month, {_r('mean_h', 8)} AS mean_events,
              {_r('mean_weighted', 8)} AS mean_weighted, {_r('mean_unweighted', 8)} AS mean_unweighted,
              {_r('median_h', 8)} AS median_events, {_r('median_avg', 8)} AS median_avg,

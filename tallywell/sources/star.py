@@ -7,10 +7,12 @@ and otherwise runs a shuffle join that adaptive execution splits on hot keys.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywell.functions.numbers import at_least, sample_stddev
+from tallywell.functions.numbers import at_least
 from tallywell.functions.periods import Instant, micros_of, within
 from tallywell.operators.quantiles import distribution
 
@@ -44,9 +46,11 @@ def duration_view(events: DataFrame, source: str, as_micros: bool = False) -> Da
 
 
 def with_country(rows: DataFrame, customer_key: str, customer: DataFrame, nation: DataFrame) -> DataFrame:
+    """Every row with the nation of its customer; an unknown country is the empty text."""
     who = customer.select(F.col("c_custkey").alias(customer_key), "c_nationkey")
     where = nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("country"))
-    return rows.join(who, customer_key).join(where, "c_nationkey").drop("c_nationkey")
+    found = rows.join(who, customer_key, "left").join(where, "c_nationkey", "left").drop("c_nationkey")
+    return found.withColumn("country", F.coalesce("country", F.lit("")))
 
 
 def raw_events(events: DataFrame) -> DataFrame:
@@ -68,67 +72,110 @@ def _month(column: str) -> Column:
     return F.trunc(F.col(column), "MM")
 
 
-def recordings_monthly(
-    orders: DataFrame,
-    customer: DataFrame,
-    nation: DataFrame,
-    source: str,
-    start: Instant | None = None,
-    end: Instant | None = None,
-    median: bool = True,
-) -> DataFrame:
-    """Month x country table of one source; ``start``/``end`` (half-open) prune the scan.
-
-    With ``median`` the orders are first grouped by price, so the shuffle holds
-    distinct values only and the quantile steps share it. Without it the
-    table is a plain aggregate and unused columns are never computed.
-    """
-    sold = orders.filter(
-        (F.col("o_orderstatus") == ORDER_STATUS[source]) & within(orders, "o_orderdate", start, end)
-    ).select(
-        "o_custkey",
-        "o_totalprice",
-        _month("o_orderdate").alias("month"),
-        (F.col("o_orderpriority") == URGENT).alias("lossless"),
-    )
-    sold = with_country(sold, "o_custkey", customer, nation)
-    price = F.col("o_totalprice")
+def _statistics(rows: DataFrame, keys: list[str], median: bool) -> DataFrame:
+    """The recordings table over ``(keys, seconds, lossless)``: one row per group, NULL seconds counted as
+    recordings without a duration. ``median`` adds a column and changes no other."""
+    seconds = F.col("seconds")
     if not median:
-        return sold.groupBy("month", "country").agg(
+        return rows.groupBy(*keys).agg(
             F.count(F.lit(1)).alias("num_tracks"),
-            F.sum(price).alias("total_duration_sec"),
-            F.min(price).alias("min_duration_sec"),
-            F.max(price).alias("max_duration_sec"),
-            F.avg(price).alias("mean_duration_sec"),
-            F.stddev_samp(price).alias("stddev_duration_sec"),
+            F.sum(seconds).alias("total_duration_sec"),
+            F.min(seconds).alias("min_duration_sec"),
+            F.max(seconds).alias("max_duration_sec"),
+            F.avg(seconds).alias("mean_duration_sec"),
+            F.stddev_samp(seconds).alias("stddev_duration_sec"),
             F.count_if("lossless").alias("num_lossless"),
         )
-    by_price = sold.groupBy("month", "country", "lossless", "o_totalprice").agg(
-        F.count(F.lit(1)).alias("times")
-    )
     spread = distribution(
-        by_price,
-        ["month", "country"],
-        "o_totalprice",
-        weight="times",
-        sums={"num_lossless": F.when(F.col("lossless"), F.col("times")).otherwise(0)},
-        quantile="median_duration_sec",
-        broadcast_targets=True,  # months by nation: 1,200 a century times 25
+        rows, keys, "seconds", sums={"num_lossless": F.when(F.col("lossless"), 1).otherwise(0)}, quantile="median_duration_sec"
     )
     return spread.select(
-        "month",
-        "country",
-        F.col("n").alias("num_tracks"),
+        *keys,
+        F.col("rows").alias("num_tracks"),
         F.col("total").alias("total_duration_sec"),
         F.col("lowest").alias("min_duration_sec"),
         F.col("highest").alias("max_duration_sec"),
-        (F.col("total") / F.col("n")).alias("mean_duration_sec"),
-        sample_stddev(F.col("n"), F.col("total"), F.col("total_squares")).alias("stddev_duration_sec"),
+        F.try_divide("total", "n").alias("mean_duration_sec"),
+        F.col("stddev").alias("stddev_duration_sec"),
         "median_duration_sec",
         "num_lossless",
     )
 
 
+def _source_of(kind: Column, kinds: dict[str, str]) -> Column:
+    """The source that a row stands for; NULL for none."""
+    return F.coalesce(*[F.when(kind == known, source) for source, known in kinds.items()])
+
+
+def _sold(orders: DataFrame, customer: DataFrame, nation: DataFrame) -> DataFrame:
+    """``(source, month, country, seconds, lossless)``, a row per order."""
+    sold = orders.select(
+        "o_custkey",
+        _source_of(F.col("o_orderstatus"), ORDER_STATUS).alias("source"),
+        _month("o_orderdate").alias("month"),
+        F.col("o_totalprice").alias("seconds"),
+        (F.col("o_orderpriority") == URGENT).alias("lossless"),
+    )
+    return with_country(sold, "o_custkey", customer, nation)
+
+
+def recordings_monthly(
+    orders: DataFrame,
+    customer: DataFrame,
+    nation: DataFrame,
+    source: str,
+    start: Instant | None = None,
+    end: Instant | None = None,
+    median: bool = True,
+) -> DataFrame:
+    """Month x country table of one source; ``start``/``end`` (half-open) prune the scan."""
+    wanted = orders.filter(
+        (F.col("o_orderstatus") == ORDER_STATUS[source]) & within(orders, "o_orderdate", start, end)
+    )
+    return _statistics(_sold(wanted, customer, nation).drop("source"), ["month", "country"], median)
+
+
+def recordings_by_source(
+    orders: DataFrame,
+    customer: DataFrame,
+    nation: DataFrame,
+    sources: Sequence[str] = tuple(ORDER_STATUS),
+    start: Instant | None = None,
+    end: Instant | None = None,
+    median: bool = False,
+) -> DataFrame:
+    """The tables of several sources as one, labelled by ``source``, from one read of the orders."""
+    wanted = orders.filter(
+        F.col("o_orderstatus").isin([ORDER_STATUS[s] for s in sources]) & within(orders, "o_orderdate", start, end)
+    )
+    return _statistics(_sold(wanted, customer, nation), ["source", "month", "country"], median)
+
+
+def recordings_sample(
+    orders: DataFrame, customer: DataFrame, nation: DataFrame, source: str, n: int = 10
+) -> DataFrame:
+    """The first ``n`` rows of ``recordings_monthly`` by month and country, medians of these groups only."""
+    wanted = orders.filter(F.col("o_orderstatus") == ORDER_STATUS[source])
+    sold = _sold(wanted, customer, nation).drop("source")
+    first = sold.groupBy("month", "country").agg(F.count(F.lit(1)).alias("_n")).orderBy("month", "country").limit(n)
+    keys = first.select(F.col("month").alias("_m"), F.col("country").alias("_c"))
+    same = F.col("month").eqNullSafe(F.col("_m")) & F.col("country").eqNullSafe(F.col("_c"))
+    return _statistics(sold.join(F.broadcast(keys), same, "left_semi"), ["month", "country"], median=True)
+
+
+def events_monthly(
+    events: DataFrame, customer: DataFrame, nation: DataFrame, source: str, median: bool = True
+) -> DataFrame:
+    """The recordings table of one source from the events themselves, by the users' countries."""
+    played = events.filter(F.col("event_type") == EVENT_TYPES[source]).select(
+        "user_id",
+        _month("ts").alias("month"),
+        (F.col("value") * F.col("value")).alias("seconds"),
+        F.lit(False).alias("lossless"),
+    )
+    return _statistics(with_country(played, "user_id", customer, nation), ["month", "country"], median)
+
+
 def active_users_monthly(
     orders: DataFrame,
     customer: DataFrame,
@@ -154,16 +201,15 @@ def active_users_monthly(
     )
 
 
-def active_users_of_source(
-    orders: DataFrame, customer: DataFrame, nation: DataFrame, source: str
-) -> DataFrame:
-    """``(month, country, active_users)`` of one source, as a table of its own."""
+def active_users_by_source(orders: DataFrame, customer: DataFrame, nation: DataFrame) -> DataFrame:
+    """``(source, month, country, active_users)`` from one read of the orders: distinct customers."""
     people = (
-        orders.filter((F.col("o_orderstatus") == ORDER_STATUS[source]) & F.col("o_custkey").isNotNull())
-        .select(_month("o_orderdate").alias("month"), "o_custkey")
+        orders.filter(F.col("o_custkey").isNotNull())
+        .select(_source_of(F.col("o_orderstatus"), ORDER_STATUS).alias("source"), _month("o_orderdate").alias("month"), "o_custkey")
+        .filter("source IS NOT NULL")
         .distinct()
     )
-    return with_country(people, "o_custkey", customer, nation).groupBy("month", "country").agg(
+    return with_country(people, "o_custkey", customer, nation).groupBy("source", "month", "country").agg(
         F.count(F.lit(1)).alias("active_users")
     )
 
@@ -208,3 +254,42 @@ def tracks_monthly(
     return _lines(lineitem, TRACK_FLAGS[source], start, end).groupBy("month").agg(
         F.count(F.lit(1)).alias("num_tracks")
     )
+
+
+def transfers_by_source(
+    lineitem: DataFrame,
+    start: Instant | None = None,
+    end: Instant | None = None,
+    tracks: bool = False,
+) -> DataFrame:
+    """Imports and exports of audio and video (and with ``tracks`` their recordings) as one table, labelled by
+    ``source``, from one read of the lines. Columns that a table does not have are NULL."""
+    kinds = {f"{s}_imports": f for s, f in IMPORT_FLAGS.items()} | {f"{s}_exports": f for s, f in EXPORT_FLAGS.items()}
+    if tracks:
+        kinds |= {f"{s}_recording": f for s, f in TRACK_FLAGS.items()}
+    pair = F.concat("l_returnflag", "l_linestatus")
+    lines = lineitem.filter(pair.isin([r + s for r, s in kinds.values()]) & within(lineitem, "l_shipdate", start, end))
+    rows = lines.select(
+        _source_of(pair, {name: r + s for name, (r, s) in kinds.items()}).alias("source"),
+        _month("l_shipdate").alias("month"),
+        "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_linenumber",
+    )
+    imported, exported = F.col("source").endswith("_imports"), F.col("source").endswith("_exports")
+    price = F.col("l_extendedprice")
+    measures = [
+        F.count_if(imported).alias("num_imports"),
+        F.sum(F.when(imported, price)).alias("total_track_duration"),
+        F.sum(F.when(imported, F.col("l_quantity"))).alias("total_import_duration"),
+        F.count_if(imported & (F.col("l_linenumber") == 1)).alias("num_batch_imports"),
+        F.count_if(exported).alias("num_exports"),
+        F.sum(F.when(exported, price)).alias("total_duration"),
+        F.sum(F.when(exported, price * (1 - F.col("l_discount")))).alias("total_exported_track_duration"),
+        F.sum(F.when(exported, F.col("l_tax"))).alias("total_exporting_time"),
+    ]
+    counts = {"num_imports": imported, "num_batch_imports": imported, "num_exports": exported}
+    if tracks:
+        recorded = F.col("source").endswith("_recording")
+        measures.append(F.count_if(recorded).alias("num_tracks"))
+        counts["num_tracks"] = recorded
+    found = rows.groupBy("source", "month").agg(*measures)
+    return found.withColumns({c: F.when(test, F.col(c)) for c, test in counts.items()})

@@ -355,7 +355,10 @@ def test_event_stats(spark):
         [(utc("2025-12-05"), v) for v in (1.0, 2.0, 10.0, 20.0)] + [(utc("2026-01-01"), None)], EVENTS
     )
     rows = durations.event_stats_by_month(events).collect()
-    assert [tuple(r) for r in rows] == [(date(2025, 12, 1), 20.0, 20.0 / 3600, 8.25, 6.0)]
+    assert [tuple(r) for r in rows] == [
+        (date(2025, 12, 1), 20.0, 20.0 / 3600, 8.25, 6.0),
+        (date(2026, 1, 1), None, None, None, None),
+    ]
     other = spark.createDataFrame([(utc("2026-02-01"), 4.0)], EVENTS)
     side = durations.event_stats_side_by_side({"a": events, "b": other}).collect()
     assert [(r["a_median_duration_sec"], r["b_median_duration_sec"]) for r in side] == [(6.0, None), (None, 4.0)]

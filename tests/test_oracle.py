@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import pytest
 
-import __spark_entry__ as entry_module
+from tallywell.plans import catalog, oracle
 from tests.compare import connect, spark_rows, sql_rows
 
 SF_DIR = "/root/testdata/sf0.01"
-QUERIES = entry_module.queries()
-ORACLE = entry_module.oracle_sql()
+QUERIES = catalog.queries()
+ORACLE = oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")

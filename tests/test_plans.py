@@ -9,6 +9,7 @@ import pytest
 import __spark_entry__ as entry_module
 from tallywell.functions.periods import before
 from tallywell.operators import durations, histograms, users
+from tallywell.plans import catalog
 from tallywell.plans.catalog import ReportTables
 from tallywell.sources import star
 
@@ -63,10 +64,34 @@ def test_refinement_counts_events_once(spark):
     assert scans(plan) == 2 and "ReusedExchange" in plan
 
 
-def test_monthly_medians_share_their_shuffle(spark, tables):
+def test_monthly_medians_shuffle_values_of_located_cells_only(spark, tables):
     plan = executed(durations.mean_exact_median_by_month(tables.monthly("audio")))
-    assert plan.count("ReusedExchange") >= 2
-    assert len(re.findall(r"FileScan parquet \[o_", plan)) == 1
+    assert len(re.findall(r"FileScan parquet \[o_", plan)) <= 2
+    by_value = re.findall(r"Exchange hashpartitioning\([^)]*_x#", plan)
+    assert len(by_value) <= 2 and all("_cell" in e for e in by_value)
+
+
+def test_event_statistics_read_events_twice(spark, tables):
+    plan = executed(durations.event_stats_by_month(tables.events("video")))
+    assert scans(plan) <= 2
+
+
+@pytest.mark.parametrize(
+    ("name", "table", "most"),
+    [
+        ("six_source_trend", "l_", 1),
+        ("numeric_totals_by_month", "l_", 1),
+        ("numeric_grand_totals", "l_", 1),
+        ("recording_totals_by_month", "o_", 1),
+        ("recording_grand_totals", "o_", 1),
+        ("recording_lookup_by_source", "o_", 1),
+        ("weighted_mean_two_sources", "o_", 1),
+        ("three_source_vs_reference_delta", "o_", 2),
+    ],
+)
+def test_tables_are_read_once(spark, name, table, most):
+    plan = planned(catalog.queries()[name](spark, SF_DIR))
+    assert 1 <= len(re.findall(rf"FileScan parquet \[{table}", plan)) <= most
 
 
 def test_unused_median_is_not_computed(spark, tables):
@@ -80,7 +105,7 @@ def test_distinct_users_copy_no_rows(spark, tables):
 
 
 def test_no_python_in_any_plan(spark):
-    for name, query in entry_module.queries().items():
+    for name, query in catalog.queries().items():
         plan = planned(query(spark, SF_DIR))
         assert "Python" not in plan and "ExistingRDD" not in plan, name
         assert "CartesianProduct" not in plan, name

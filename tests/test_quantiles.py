@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import math
 import random
-from collections import Counter
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
-from tallywell.operators.quantiles import distribution, exact_quantile
+from tallywell.operators.quantiles import _coarse_cell, distribution, exact_quantile
 
 
 def interpolated(values: list[float], q: float) -> float:
@@ -57,16 +57,32 @@ def test_equals_builtin_percentile(rows):
         assert ours[r["g"]] == pytest.approx(r["p"], rel=1e-12, abs=1e-15), r["g"]
 
 
-def test_weights_stand_for_repeats(spark):
+def test_moments(spark):
     rng = random.Random(9)
     values = [float(rng.randint(1, 40)) for _ in range(999)]
-    plain = spark.createDataFrame([(v,) for v in values], "x double")
-    counted = spark.createDataFrame([(v, n) for v, n in Counter(values).items()], "x double, n bigint")
-    a = distribution(plain, [], "x", 0.3).first()
-    b = distribution(counted, [], "x", 0.3, weight="n").first()
-    assert a.asDict() == b.asDict()
+    df = spark.createDataFrame([("a", v) for v in values] + [("a", None), ("b", None)], "g string, x double")
+    got = {r["g"]: r for r in distribution(df, ["g"], "x", 0.3).collect()}
+    a = got["a"]
     assert a["quantile"] == pytest.approx(interpolated(values, 0.3))
-    assert (a["n"], a["total"], a["lowest"], a["highest"]) == (999, sum(values), min(values), max(values))
+    assert (a["rows"], a["n"], a["total"], a["lowest"], a["highest"]) == (1000, 999, sum(values), min(values), max(values))
+    assert a["stddev"] == pytest.approx(statistics.stdev(values), rel=1e-12)
+    assert got["b"].asDict() == {
+        "g": "b", "rows": 1, "n": 0, "total": None, "lowest": None, "highest": None, "stddev": None, "quantile": None
+    }
+
+
+def test_stddev_does_not_cancel(spark):
+    df = spark.createDataFrame([(1e9 + v,) for v in (0.1, 0.2, 0.3, 0.4)], "x double")
+    assert distribution(df, [], "x").first()["stddev"] == pytest.approx(0.1290994, abs=1e-6)
+
+
+def test_values_near_zero_spread_over_cells(spark):
+    rng = random.Random(4)
+    values = [rng.uniform(0, 1e-9) for _ in range(3000)] + [rng.uniform(0, 1e-2) for _ in range(2000)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    assert exact_quantile(df, [], "x").first()["quantile"] == pytest.approx(interpolated(values, 0.5), rel=1e-12)
+    cells = df.select(_coarse_cell(F.col("x")).alias("c")).groupBy("c").count().agg(F.max("count")).first()[0]
+    assert cells < 200
 
 
 def test_null_keys_are_a_group(spark):
@@ -80,10 +96,16 @@ def test_nan_sorts_last(spark):
     assert math.isnan(exact_quantile(df, [], "x", 1.0).first()["quantile"])
 
 
-def test_broadcast_targets_change_nothing(rows):
+def test_same_without_broadcasts(spark, rows):
     plain = {r["g"]: r["quantile"] for r in exact_quantile(rows, ["g"], "x").collect()}
-    small = exact_quantile(rows, ["g"], "x", broadcast_targets=True)
-    assert {r["g"]: r["quantile"] for r in small.collect()} == plain
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        again = exact_quantile(rows, ["g"], "x")
+        assert {r["g"]: r["quantile"] for r in again.collect()} == plain
+        assert "Broadcast" not in again._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 def test_no_group_is_gathered(rows):
