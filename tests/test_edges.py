@@ -361,7 +361,11 @@ def test_event_stats(spark):
     ]
     other = spark.createDataFrame([(utc("2026-02-01"), 4.0)], EVENTS)
     side = durations.event_stats_side_by_side({"a": events, "b": other}).collect()
-    assert [(r["a_median_duration_sec"], r["b_median_duration_sec"]) for r in side] == [(6.0, None), (None, 4.0)]
+    assert [(r["a_median_duration_sec"], r["b_median_duration_sec"]) for r in side] == [
+        (6.0, None),
+        (None, None),  # a month of "a" whose events have no duration
+        (None, 4.0),
+    ]
 
 
 # --- reconciliation ---------------------------------------------------------------------
