@@ -1,7 +1,11 @@
 """Licence notices in documents: Dice coefficient over word bigrams, in built-in functions only.
 
 Text is normalised (lower case, runs of anything but letters and digits become one space) and
-compared with the templates as a whole, by paragraph, by line and by sentence. With t the least
+compared with the templates as a whole, by paragraph, by line and by sentence, and by windows of
+consecutive words wherever they start and end, so that a notice is found when it is wrapped over
+lines, stands in a comment or inside other prose. The best window starts and ends with a bigram of the
+template, as cutting any other bigram off lowers no coefficient; a window holds at most (2-t)/t times as
+many bigrams as the template, repetitions included. With t the least
 coefficient, a template of m distinct bigrams can only match a unit of m*t/(2-t) to m*(2-t)/t of
 them; these size bounds prune the candidate templates, and a match shares at least m*t/(2-t) of the
 template's bigrams. So a document that holds none of a few words of each template, chosen such
@@ -17,6 +21,7 @@ import functools
 import math
 import operator
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,11 +84,15 @@ def bigrams_of(words: list[str]) -> set[str]:
 def required_words(body: str, least: float) -> tuple[list[str], int]:
     """The template's longest words, as many as leave fewer bigrams without them than a match must share: every
     match holds one of them. And how many of the template's words a match holds at least: n shared bigrams of
-    a template without repeated words touch n + 1 words or more."""
+    a template without repeated words touch n + 1 words or more; otherwise as many words as begin n of its bigrams
+    together, those that begin most of them taken first."""
     words = normal_words(body)
     rest = bigrams_of(words)
     needed = math.ceil(len(rest) * least / (2 - least) - 1e-9)
-    held = needed + 1 if len(set(words)) == len(words) else 1
+    begun = sorted(Counter(b.split()[0] for b in rest).values(), reverse=True)
+    held = needed + 1
+    if len(set(words)) < len(words):
+        held = next(v for v in range(1, len(begun) + 1) if sum(begun[:v]) >= needed)
     some: list[str] = []
     for word in sorted(set(words), key=lambda w: (-len(w), w)):
         if len(rest) < needed:
@@ -93,8 +102,8 @@ def required_words(body: str, least: float) -> tuple[list[str], int]:
     return some, held
 
 
-def may_match(text: Column, templates: list[tuple[str, str]], least: float) -> Column:
-    """False only for texts without a match: plain substring tests on the lower-cased text."""
+def may_match(text: Column, templates: list[tuple[str, str]], least: float) -> list[Column]:
+    """Per template, false only for texts without a match: plain substring tests on the lower-cased text."""
     tests = []
     for _, body in templates:
         some, held = required_words(body, least)
@@ -103,7 +112,7 @@ def may_match(text: Column, templates: list[tuple[str, str]], least: float) -> C
             found = [text.contains(w).cast("int") for w in dict.fromkeys(normal_words(body))]
             test = test & (functools.reduce(operator.add, found) >= held)
         tests.append(test)
-    return functools.reduce(operator.or_, tests)
+    return tests
 
 
 def normalised(text: Column) -> Column:
@@ -130,14 +139,67 @@ def units(docs: DataFrame) -> DataFrame:
     )
 
 
-def bigrams(unit: Column) -> Column:
+def bigrams_in_order(unit: Column) -> Column:
     words = F.split(unit, " ")
-    return F.array_distinct(
-        F.zip_with(
-            F.slice(words, F.lit(1), F.size(words) - 1),
-            F.slice(words, F.lit(2), F.size(words) - 1),
-            lambda a, b: F.concat(a, F.lit(" "), b),
+    return F.zip_with(
+        F.slice(words, F.lit(1), F.size(words) - 1),
+        F.slice(words, F.lit(2), F.size(words) - 1),
+        lambda a, b: F.concat(a, F.lit(" "), b),
+    )
+
+
+def bigrams(unit: Column) -> Column:
+    return F.array_distinct(bigrams_in_order(unit))
+
+
+def best_window(grams: Column, own: Column, low: Column, span: Column) -> Column:
+    """The greatest coefficient of a window of ``grams`` with the bigrams ``own``; null if no window of up to
+    ``span`` bigrams has ``low`` of them."""
+
+    def dice(start: Column, end: Column) -> Column:
+        window = F.slice(grams, start, end - start + 1)
+        return 2.0 * F.size(F.array_intersect(window, own)) / (F.size(own) + F.size(F.array_distinct(window)))
+
+    def best(hits: Column) -> Column:
+        return F.array_max(
+            F.flatten(
+                F.transform(
+                    hits,
+                    lambda start, i: F.transform(
+                        F.filter(F.slice(hits, i + low, F.size(hits)), lambda end: end < start + span),
+                        lambda end: dice(start, end),
+                    ),
+                )
+            )
         )
+
+    places = F.filter(F.sequence(F.lit(1), F.size(grams)), lambda p: F.array_contains(own, F.element_at(grams, p)))
+    # bound as the only element of an array, so that it is computed once
+    return F.element_at(F.transform(F.array(places), best), 1)
+
+
+def windows(likely: DataFrame, templates: list[tuple[str, str]], least: float) -> DataFrame:
+    """``(doc_id, license, dice)`` of the best window per document and licence, of ``likely (doc_id, text, tried)``
+    with the numbers of the templates to try."""
+    rows = []
+    for number, (name, body) in enumerate(templates):
+        words = normal_words(body)
+        own = sorted(bigrams_of(words))
+        low = math.ceil(len(own) * least / (2 - least) - 1e-9)
+        rows.append((number, name, own, low, math.floor((len(words) - 1) * (2 - least) / least + 1e-9)))
+    # bounded by the templates, whatever the data
+    known = F.broadcast(
+        likely.sparkSession.createDataFrame(rows, "template int, license string, own array<string>, low int, span int")
+    )
+    texts = likely.withColumn("unit", normalised(F.col("text"))).filter(F.instr("unit", " ") > 0)
+    tried = texts.select("doc_id", bigrams_in_order(F.col("unit")).alias("grams"), F.explode("tried").alias("template"))
+    return (
+        tried.join(known, "template")
+        .filter(F.size(F.array_intersect("grams", "own")) >= F.col("low"))
+        .select("doc_id", "license", best_window(*map(F.col, ("grams", "own", "low", "span"))).alias("dice"))
+        .groupBy("doc_id", "license")
+        .agg(F.max("dice").alias("dice"))
+        .filter(F.col("dice") >= least - 1e-12)
     )
 
 
@@ -145,9 +207,11 @@ def scan(
     docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST_DICE
 ) -> DataFrame:
     """``(doc_id, license, dice, level, n_lines)``, a row per document and licence found: the best coefficient, the
-    finest level that reaches it, and in how many lines the licence stands."""
+    finest level that reaches it ("window" if no unit does), and in how many lines the licence stands."""
     spark = docs.sparkSession
-    likely = docs.select("doc_id", "text").filter(may_match(F.lower("text"), templates, least))
+    tests = may_match(F.lower("text"), templates, least)
+    tried = F.array_compact(F.array(*[F.when(test, F.lit(number)) for number, test in enumerate(tests)]))
+    likely = docs.select("doc_id", "text").filter(functools.reduce(operator.or_, tests)).withColumn("tried", tried)
     rows = []
     for number, (name, body) in enumerate(templates):
         own = bigrams_of(normal_words(body))
@@ -158,7 +222,7 @@ def scan(
     known = F.broadcast(
         spark.createDataFrame(rows, "template int, license string, bigram string, m int, low int, high int")
     )
-    found = units(likely).withColumn("bigrams", bigrams(F.col("unit"))).withColumn("u", F.size("bigrams"))
+    found = units(likely.select("doc_id", "text")).withColumn("bigrams", bigrams(F.col("unit"))).withColumn("u", F.size("bigrams"))
     shared = (
         found.select("doc_id", "level", "unit", "times", "u", F.explode("bigrams").alias("bigram"))
         .join(known, "bigram")
@@ -171,10 +235,14 @@ def scan(
     # several templates stand for one licence: a line counts once
     best = shared.groupBy("doc_id", "level", "unit", "times", "license").agg(F.max("dice").alias("dice"))
     fine = F.when(F.col("level") == "sentence", 3).when(F.col("level") == "line", 2)
-    fine = fine.when(F.col("level") == "paragraph", 1).otherwise(0)
+    fine = fine.when(F.col("level") == "paragraph", 1).when(F.col("level") == "document", 0).otherwise(-1)
+    inside = windows(likely, templates, least).select(
+        "doc_id", F.lit("window").alias("level"), F.lit("").alias("unit"), F.lit(0).cast("long").alias("times"), "license", "dice"
+    )
     top = F.max(F.struct("dice", fine.alias("fine"), "level"))
     return (
-        best.groupBy("doc_id", "license")
+        best.union(inside)
+        .groupBy("doc_id", "license")
         .agg(top.alias("top"), F.sum(F.when(F.col("level") == "line", F.col("times")).otherwise(0)).alias("n_lines"))
         .select("doc_id", "license", F.col("top.dice").alias("dice"), F.col("top.level").alias("level"), "n_lines")
     )
