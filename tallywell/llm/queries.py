@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywell.llm import (
+    conversations,
     exact_dedup,
     fingerprints,
     language_id,
@@ -86,6 +87,10 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir)).drop("key")
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.damage_and_repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -98,6 +103,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_toxicity": op9_toxicity,
         "op10_near_dedup": op10_near_dedup,
+        "op12_conversation_repair": op12_conversation_repair,
     }
 
 
@@ -120,4 +126,8 @@ FROM ranked
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_licenses": licenses.scan_sql(), "op7_exact_dedup": OP7_SQL}
+    return {
+        "op4_licenses": licenses.scan_sql(),
+        "op7_exact_dedup": OP7_SQL,
+        "op12_conversation_repair": conversations.SQL,
+    }
