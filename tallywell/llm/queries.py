@@ -11,6 +11,7 @@ from tallywell.llm import (
     conversations,
     exact_dedup,
     fingerprints,
+    hard_negatives,
     language_id,
     licenses,
     near_dedup,
@@ -87,6 +88,10 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir)).drop("key")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(hard_negatives.prepared(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.damage_and_repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -103,6 +108,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_toxicity": op9_toxicity,
         "op10_near_dedup": op10_near_dedup,
+        "op11_hard_negatives": op11_hard_negatives,
         "op12_conversation_repair": op12_conversation_repair,
     }
 
@@ -129,5 +135,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_licenses": licenses.scan_sql(),
         "op7_exact_dedup": OP7_SQL,
+        "op11_hard_negatives": hard_negatives.SQL,
         "op12_conversation_repair": conversations.SQL,
     }
