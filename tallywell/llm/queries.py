@@ -13,6 +13,7 @@ from tallywell.llm import (
     fingerprints,
     hard_negatives,
     language_id,
+    language_model,
     licenses,
     near_dedup,
     packing,
@@ -96,6 +97,13 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.damage_and_repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op13_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = language_model.scores(documents(spark, sf_dir), crc_mod(F.col("doc_id"), 7) != 2)
+    return scored.select(
+        "doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -110,6 +118,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_near_dedup": op10_near_dedup,
         "op11_hard_negatives": op11_hard_negatives,
         "op12_conversation_repair": op12_conversation_repair,
+        "op13_language_model": op13_language_model,
     }
 
 
