@@ -8,8 +8,8 @@ characters. The model is
 
 with softmax factors for class and group, and the word's share of its group by add-one counts
 (n tokens and v words of the group in training; one place per group is left to unknown words).
-Features of both factors are hashed: the previous word's group, the previous two, and, as
-skips, the second and third word back alone; the group factor's are joined with the class.
+Features of both factors are hashed: the previous word's group, the previous two together, and, as
+a skip, the second word back alone; the group factor's are joined with the class.
 
 Documents are read once, in blocks that list their distinct words. Counts of all
 training words are one aggregation over these lists, joined back to them, so that a
@@ -34,27 +34,50 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywell.llm.cache import release
-from tallywell.llm.common import remove_stored, ship_package, stored
+from tallywell.llm.common import new_path, remove_stored, ship_package, stored
 from tallywell.llm.token_counts import _packed, _unpacked
 
 #: The end token; no word holds white space.
-END = b"\n"
+END = "\n"
 BLOCK_CHARS = 8_000_000
+#: Characters whose words are numbered at once.
+PORTION = 1_000_000
 #: Classes (the last ones shared by rare endings), groups of a class, and how many are single words.
 CLASSES, SHARED, GROUPS, OWN = 32, 4, 32, 16
 BUCKETS = 1 << 15
-FEATURES = 4
-ROUNDS, STEP, BATCH = 2, 1.0, 4096
+FEATURES = 3
+#: Bound of a summed weight: exponentials stay far from overflow and from subnormal numbers.
+LIMIT = 30.0
+ROUNDS, STEP, BATCH = 2, 1.0, 2048
+#: Training tokens per task at least, where there are several tasks: each ends with a weight table.
+TASK_TOKENS = 4_000_000
 #: Rows of a weight table that travel together.
 PIECE = 1024
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _numbered(texts: pa.Array, index: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of the texts, and their words with an end token each as numbers of ``index``, to which new words are added.
+    Arrow's ASCII functions lower A-Z alone and split at x20 and x09-x0D alone."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, owner = lists.flatten(), pc.list_parent_indices(lists).to_numpy()
+    some = pc.greater(pc.binary_length(words), 0)  # white space at either end leaves an empty piece
+    sizes = np.bincount(owner[some.to_numpy(zero_copy_only=False)], minlength=len(texts))
+    coded = words.filter(some).dictionary_encode()
+    known = coded.dictionary.to_pylist()
+    for word in known:
+        if word not in index:
+            index[word] = len(index)
+    numbers = np.fromiter(map(index.__getitem__, known), np.int32, len(known))[coded.indices.to_numpy()]
+    return sizes + 1, np.insert(numbers, sizes.cumsum(), index[END])
+
+
 def encoded(docs: DataFrame, learn: Column, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """A row per block: ids, training marks and sizes of its documents, their words as numbers into the
     block's list of distinct words, and how often each of these stands in training documents."""
@@ -67,34 +90,38 @@ def encoded(docs: DataFrame, learn: Column, block_chars: int = BLOCK_CHARS) -> D
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         number = TaskContext.get().partitionId() << 24
-        index, ids, marks, parts, chars = {END: 0}, [], [], [], 0
+        index, ids, marks, sizes, parts, chars = {END: 0}, [], [], [], [], 0
 
         def row() -> pa.RecordBatch:
-            tokens = np.concatenate(parts)
-            sizes = np.array([len(p) for p in parts])
-            times = np.bincount(tokens[np.repeat(marks, sizes)], minlength=len(index)).astype(np.int32)
-            words = pa.array(list(index), pa.binary()).cast(pa.string())
-            values = [[number], [ids], [marks], [_packed(sizes)], [_packed(tokens)], [words], [times]]
+            size, tokens, mark = (np.concatenate(x) for x in (sizes, parts, marks))
+            times = np.bincount(tokens[np.repeat(mark, size)], minlength=len(index)).astype(np.int32)
+            values = [[number], [pa.concat_arrays(ids)], [mark], [_packed(size)], [_packed(tokens)], [list(index)], [times]]
             return pa.RecordBatch.from_arrays([pa.array(v, t.type) for v, t in zip(values, schema)], schema=schema)
 
         for batch in batches:
-            for doc_id, text, mark in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2).to_pylist()):
-                body = text.as_py() or b""
-                words = body.lower().split()  # of bytes: A-Z alone, and white space x20, x09-x0D alone
-                words.append(END)
-                for word in set(words):
-                    if word not in index:
-                        index[word] = len(index)
-                ids.append(doc_id)
-                marks.append(mark)
-                parts.append(np.fromiter(map(index.__getitem__, words), np.int32, len(words)))
-                chars += len(body)
-                if chars >= block_chars:
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+            done = 0
+            while done < batch.num_rows:
+                # a portion of documents that still fits into the block, one at least
+                before = ends[done - 1] if done else 0
+                room = min(block_chars - chars, PORTION)
+                upto = max(done + 1, int(np.searchsorted(ends, before + room, "right")))
+                part = batch.slice(done, upto - done)
+                size, tokens = _numbered(part.column(1), index)
+                ids.append(pa.array(part.column(0).to_pylist(), part.column(0).type))  # a copy: a slice would keep the batch
+                marks.append(part.column(2).to_numpy(zero_copy_only=False).astype(bool))
+                sizes.append(size)
+                parts.append(tokens)
+                chars += int(ends[upto - 1] - before)
+                done = upto
+                if chars >= block_chars - PORTION // 2:
                     yield row()
-                    index, ids, marks, parts, chars = {END: 0}, [], [], [], 0
+                    index, ids, marks, sizes, parts, chars = {END: 0}, [], [], [], [], 0
                     number += 1
         if ids:
             yield row()
+        del index, ids, marks, sizes, parts
+        pa.default_memory_pool().release_unused()
 
     return docs.select("doc_id", "text", learn.alias("learn")).mapInArrow(
         gather,
@@ -153,8 +180,9 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     place = Window.partitionBy("class").orderBy(F.col("c").desc(), "word")
     own = (
         known.withColumn("class", found.class_of(F.col("word")))
-        .withColumn("group", F.row_number().over(place) - 1)
-        .filter(F.col("group") < OWN)
+        .withColumn("rank", F.row_number().over(place))
+        .filter(F.col("rank") <= OWN)  # so written, it also limits the classes before the shuffle
+        .withColumn("group", F.col("rank") - 1)
     )
     found.own = [(r["word"], r["class"], r["group"]) for r in own.select("word", "class", "group").collect()]  # CLASSES * OWN at most
     totals = found.leaves(known).groupBy("leaf").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"))
@@ -167,12 +195,12 @@ def features(leaves: np.ndarray, place: np.ndarray) -> np.ndarray:
     """Keys of the ``FEATURES`` features of every token. ``leaves`` are those of whole documents one after
     another, ``place`` the token's number in its document; before a document stands leaf -1."""
     back = []
-    for k in (1, 2, 3):
+    for k in (1, 2):
         shifted = np.zeros(len(leaves), np.int64)
         shifted[k:] = leaves[:-k] + 1
         back.append(np.where(place >= k, shifted, 0))
     pair = back[0] * (CLASSES * GROUPS + 1) + back[1]
-    kinds = [back[0], back[1], back[2], pair]
+    kinds = [back[0], back[1], pair]
     return np.stack([x * FEATURES + kind for kind, x in enumerate(kinds)], 1).astype(np.uint64)
 
 
@@ -195,26 +223,44 @@ class Factor:
         return Factor(self.weights.copy(), self.squares.copy())
 
     def probabilities(self, rows: np.ndarray) -> np.ndarray:
-        sums = self.weights[rows[:, 0]]
+        """Softmax of the summed weights, these kept within +-``LIMIT``."""
+        sums = self.weights.take(rows[:, 0], 0)
         for k in range(1, rows.shape[1]):
-            sums += self.weights[rows[:, k]]
-        sums -= sums.max(1, keepdims=True)
+            sums += self.weights.take(rows[:, k], 0)
+        np.clip(sums, -LIMIT, LIMIT, out=sums)
         np.exp(sums, out=sums)
-        sums /= sums.sum(1, keepdims=True)
+        sums /= sums @ np.ones((sums.shape[1], 1), np.float32)
         return sums
 
+    def of(self, rows: np.ndarray, truth: np.ndarray, length: int = 4 * BATCH) -> np.ndarray:
+        """Probability of what came, above 0."""
+        found = np.empty(len(truth))
+        for k in range(0, len(truth), length):
+            part = truth[k : k + length]
+            found[k : k + length] = self.probabilities(rows[k : k + length])[np.arange(len(part)), part]
+        return np.maximum(found, 1e-30)
+
     def step(self, rows: np.ndarray, truth: np.ndarray) -> None:
         """One AdaGrad step down the log loss of a batch."""
         slope = self.probabilities(rows)
         slope[np.arange(len(truth)), truth] -= 1
         flat = rows.ravel()
         order = np.argsort(flat, kind="stable")
-        ordered = flat[order]
+        ordered, token = flat[order], order // rows.shape[1]
         first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        times = np.diff(first, append=len(flat))
+        # most rows are met once in a batch: only the others need sums
+        gradient = slope.take(token[first], 0)
+        again = times > 1
+        if again.any():
+            starts = np.cumsum(times[again]) - times[again]
+            gradient[again] = np.add.reduceat(slope.take(token[np.repeat(again, times)], 0), starts, 0)
         touched = ordered[first]
-        gradient = np.add.reduceat(slope[order // rows.shape[1]], first, 0)
-        self.squares[touched] += np.einsum("ij,ij->i", gradient, gradient)
-        self.weights[touched] -= (STEP / np.sqrt(1 + self.squares[touched]))[:, None] * gradient
+        squares = self.squares.take(touched) + np.einsum("ij,ij->i", gradient, gradient)
+        self.squares[touched] = squares
+        gradient *= (-STEP / np.sqrt(1 + squares))[:, None]
+        gradient += self.weights.take(touched, 0)
+        self.weights[touched] = gradient
 
 
 @dataclass
@@ -231,20 +277,20 @@ class Block:
     def of(batch: pa.RecordBatch, row: int) -> Block:
         learn, sizes, tokens, listed = (batch.column(c)[row] for c in ("learn", "sizes", "tokens", "listed"))
         place, leaf, c = (listed.values.field(k).to_numpy() for k in range(3))
-        counts, leaves = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+        counts, leaves = np.zeros(len(place), np.int64), np.zeros(len(place), np.int32)
         counts[place], leaves[place] = c, leaf
         marks = learn.values.to_numpy(zero_copy_only=False).astype(bool)
         return Block(_unpacked(sizes.as_py()), _unpacked(tokens.as_py()), marks, counts, leaves)
 
-    def slices(self, wanted: np.ndarray | None = None, length: int = 1 << 17) -> Iterator[tuple[np.ndarray, ...]]:
+    def slices(self, wanted: np.ndarray | None = None, length: int = 1 << 15) -> Iterator[tuple[np.ndarray, ...]]:
         """Positions, rows of both factors, class and group of the tokens of ``wanted`` documents, slice by slice."""
         leaves = self.leaf[self.tokens]
         start = self.sizes.cumsum() - self.sizes
-        place = np.arange(len(leaves)) - np.repeat(start, self.sizes)
+        place = np.arange(len(leaves), dtype=np.int32) - np.repeat(start.astype(np.int32), self.sizes)
         at = np.arange(len(leaves)) if wanted is None else np.flatnonzero(np.repeat(wanted, self.sizes))
         for k in range(0, len(at), length):
             part = at[k : k + length]
-            low = max(0, part[0] - 3)
+            low = max(0, part[0] - 2)
             keys = features(leaves[low : part[-1] + 1], place[low : part[-1] + 1])[part - low]
             classes, groups = np.divmod(leaves[part], GROUPS)
             joined = (keys + np.uint64(1)) * np.uint64(CLASSES + 1) + (classes + 1).astype(np.uint64)[:, None]
@@ -252,17 +298,17 @@ class Block:
 
 
 def _tables(factors: tuple[Factor, Factor], before: tuple[Factor, Factor]) -> Iterator[tuple]:
-    """``(part, weights, gained)`` of the rows that a task has changed, weights times what they gained in squares."""
+    """``(part, moved, gained)`` of the parts that a task has changed: by how much, in half precision, and the gain in squares."""
     for number, (now, old) in enumerate(zip(factors, before)):
         gained = now.squares - old.squares
         for k in range(0, BUCKETS, PIECE):
             if gained[k : k + PIECE].any():
-                moved = (now.weights[k : k + PIECE] - old.weights[k : k + PIECE]) * gained[k : k + PIECE, None]
+                moved = (now.weights[k : k + PIECE] - old.weights[k : k + PIECE]).astype(np.float16)
                 yield number * (BUCKETS // PIECE) + k // PIECE, moved.tobytes(), gained[k : k + PIECE].tobytes()
 
 
-def train(blocks: DataFrame, rounds: int = ROUNDS) -> tuple[Factor, Factor]:
-    """Class and group factor, fitted to the marked documents of ``blocks``; round k takes every document
+def train(blocks: DataFrame, tokens: int, rounds: int = ROUNDS) -> tuple[Factor, Factor]:
+    """Class and group factor, fitted to the ``tokens`` of the marked documents of ``blocks``; round k takes every document
     whose number in its block leaves k, so that all rounds together are one pass."""
     context = blocks.sparkSession.sparkContext
     model = (Factor.empty(CLASSES), Factor.empty(GROUPS))
@@ -292,7 +338,8 @@ def train(blocks: DataFrame, rounds: int = ROUNDS) -> tuple[Factor, Factor]:
             sums: dict[int, list] = {}
             for batch in batches:
                 for part, moved, gained in zip(batch["part"], batch["moved"], batch["gained"]):
-                    moved, gained = (np.frombuffer(x, np.float32).astype(np.float64) for x in (moved, gained))
+                    gained = np.frombuffer(gained, np.float32).astype(np.float64)
+                    moved = np.frombuffer(moved, np.float16).reshape(PIECE, -1) * gained[:, None]
                     if part in sums:
                         sums[part] = [sums[part][0] + moved, sums[part][1] + gained, sums[part][2] + (gained > 0)]
                     else:
@@ -303,6 +350,7 @@ def train(blocks: DataFrame, rounds: int = ROUNDS) -> tuple[Factor, Factor]:
         parts = 2 * BUCKETS // PIECE
         tables = (
             blocks.select("learn", "sizes", "tokens", "listed")
+            .coalesce(max(1, tokens // TASK_TOKENS))
             .mapInArrow(fit, "part int, task int, moved binary, gained binary")
             .repartition(min(parts, 16), "part")
             .sortWithinPartitions("part", "task")
@@ -323,9 +371,7 @@ def score_block(block: Block, known: Vocabulary, model: tuple[Factor, Factor]) -
     owner = np.repeat(np.arange(len(block.sizes)), block.sizes)
     total = np.zeros(len(block.sizes))
     for part, first, second, classes, groups in block.slices():
-        each = np.arange(len(part))
-        chance = np.log10(np.maximum(model[0].probabilities(first)[each, classes].astype(np.float64), 1e-30))
-        chance += np.log10(np.maximum(model[1].probabilities(second)[each, groups].astype(np.float64), 1e-30))
+        chance = np.log10(model[0].of(first, classes)) + np.log10(model[1].of(second, groups))
         total += np.bincount(owner[part], chance, len(total))
     sums = (np.bincount(owner, of[block.tokens], len(total)) for of in (block.counts > 0, known.base(block.counts), known.share(block.leaf, block.counts)))
     seen, base, share = sums
@@ -346,10 +392,14 @@ def prepared(docs: DataFrame, learn: Column, block_chars: int = BLOCK_CHARS) ->
         .groupBy("block")
         .agg(F.collect_list(F.struct("place", "leaf", "c")).alias("listed"))
     )
-    blocks = stored(read.drop("words", "times").join(back, "block"), "blocks")
+    path = new_path(docs.sparkSession, "blocks")
+    read.drop("words", "times").join(back, "block").write.parquet(path)
     remove_stored(read)
     remove_stored(counts)
-    return blocks, known
+    # a row is a block of some megabytes: a session of its own hands them to Python one by one
+    session = docs.sparkSession.newSession()
+    session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    return session.read.parquet(path), known
 
 
 def scored(blocks: DataFrame, known: Vocabulary, model: tuple[Factor, Factor]) -> DataFrame:
@@ -380,6 +430,7 @@ def scored(blocks: DataFrame, known: Vocabulary, model: tuple[Factor, Factor]) -
 def scores(docs: DataFrame, learn: Column, block_chars: int = BLOCK_CHARS, rounds: int = ROUNDS) -> DataFrame:
     """Every row of ``docs`` scored by the model trained on the rows where ``learn`` holds."""
     blocks, known = prepared(docs, learn, block_chars)
-    found = stored(scored(blocks, known, train(blocks, rounds)), "scores")
+    path = new_path(docs.sparkSession, "scores")
+    scored(blocks, known, train(blocks, known.tokens, rounds)).write.parquet(path)
     remove_stored(blocks)
-    return found
+    return docs.sparkSession.read.parquet(path)

@@ -50,7 +50,7 @@ def test_against_plain_python(spark, table):
     learn = crc_mod(F.col("doc_id"), 7) != 2
     blocks, known = lm.prepared(table, learn, block_chars=60_000)
     assert blocks.count() > 3
-    model = lm.train(blocks)
+    model = lm.train(blocks, known.tokens)
     got = {}
     for r in lm.scored(blocks, known, model).collect():
         got.setdefault(r["doc_id"], []).append(r)
@@ -76,12 +76,12 @@ def test_against_plain_python(spark, table):
         if text is not None and len(text) > 100_000:
             continue
         words = words_of(text)
-        past = [0, 0, 0] + [leaf[w] + 1 for w in words]
+        past = [0, 0] + [leaf[w] + 1 for w in words]
         score = 0.0
         for k, w in enumerate(words):
-            third, second, first = past[k : k + 3]
+            second, first = past[k : k + 2]
             pair = first * (lm.CLASSES * lm.GROUPS + 1) + second
-            keys = [x * lm.FEATURES + kind for kind, x in enumerate((first, second, third, pair))]
+            keys = [x * lm.FEATURES + kind for kind, x in enumerate((first, second, pair))]
             cls, group = divmod(leaf[w], lm.GROUPS)
             score += math.log10(softmax(model[0], keys)[cls])
             score += math.log10(softmax(model[1], [(x + 1) * (lm.CLASSES + 1) + cls + 1 for x in keys])[group])
