@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +16,7 @@ from tallywell.functions.periods import (
 )
 from tallywell.operators.quantiles import distribution
 from tallywell.operators.totals import full_join_on, labelled
+from tallywell.sources.tables import stack, tag
 
 Month = str | date
 
@@ -114,44 +115,64 @@ def weighted_mean_by_source(sources: Mapping[str, DataFrame] | DataFrame) -> Dat
     )
 
 
-def event_stats_by_month(events: DataFrame, grain: str = "MONTH") -> DataFrame:
-    """Maximum, mean and exact median duration per period, from the events.
+EVENT_STATS = ("max_duration_sec", "max_duration_hour", "mean_duration_sec", "median_duration_sec")
+
 
-    All four come out of the quantile job: the moments ride along with its first
+def _event_stats(events: DataFrame, grain: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Maximum, mean and exact median per ``keys`` and period.
+
+    All of them come out of one quantile job: the moments ride along with its first
     step, and no period's rows are ever gathered in one task. A period whose
     durations are all NULL has NULL statistics.
     """
     rows = events.select(
+        *keys,
         period(events, "event_timestamp", grain).alias("period"),
         F.col("duration_sec").cast("double").alias("duration_sec"),
     )
     spread = distribution(
         rows,
-        ["period"],
+        [*keys, "period"],
         "duration_sec",
         moments=("n", "total", "highest"),
         quantile="median_duration_sec",
     )
     return spread.select(
+        *keys,
         "period",
         F.col("highest").alias("max_duration_sec"),
         hours(F.col("highest")).alias("max_duration_hour"),
         (F.col("total") / F.col("n")).alias("mean_duration_sec"),
         "median_duration_sec",
-    ).orderBy("period")
-
-
-def event_stats_side_by_side(sides: Mapping[str, DataFrame], grain: str = "MONTH") -> DataFrame:
-    """The event statistics of several sources next to each other; NULL where one has no period."""
-    return full_join_on(
-        (
-            stats.select(
-                "period", *[F.col(c).alias(f"{label}_{c}") for c in stats.columns if c != "period"]
-            )
-            for label, stats in ((s, event_stats_by_month(df, grain)) for s, df in sides.items())
-        ),
-        "period",
-    ).orderBy("period")
+    )
+
+
+def event_stats_by_month(events: DataFrame, grain: str = "MONTH") -> DataFrame:
+    """Maximum, mean and exact median duration per period, from the events."""
+    return _event_stats(events, grain).orderBy("period")
+
+
+def event_stats_side_by_side(
+    sides: Mapping[str, DataFrame] | DataFrame, grain: str = "MONTH", names: Sequence[str] | None = None
+) -> DataFrame:
+    """The event statistics of several sources next to each other; NULL where one has no period.
+
+    The sources are one table labelled by ``source`` (then ``names`` lists them), or are stacked into
+    one: a single quantile job serves them all, and the statistics are turned sideways after it.
+    """
+    if isinstance(sides, DataFrame):
+        if names is None:
+            raise ValueError("name the sources to show")
+        events = sides.filter(F.col("source").isin(*names))
+    else:
+        names = list(sides)
+        events = stack(tag(df.select("event_timestamp", "duration_sec"), label) for label, df in sides.items())
+    found = _event_stats(events, grain, ["source"])
+    return (
+        found.groupBy("period")
+        .agg(*[F.max(F.when(F.col("source") == s, F.col(c))).alias(f"{s}_{c}") for s in names for c in EVENT_STATS])
+        .orderBy("period")
+    )
 
 
 def _event_hours(events: DataFrame, accuracy: int) -> DataFrame:
@@ -162,17 +183,29 @@ def _event_hours(events: DataFrame, accuracy: int) -> DataFrame:
     )
 
 
-def events_vs_agg_delta(events: DataFrame, monthly: DataFrame, accuracy: int = 10_000) -> DataFrame:
-    """Mean and median hours from events and from the monthly table, and their differences."""
-    table = (
-        _months(monthly, None, None)
-        .groupBy("month")
-        .agg(
-            F.avg(hours(F.col("mean_duration_sec"))).alias("mean_hour_agg"),
-            F.avg(hours(F.col("median_duration_sec"))).alias("median_hour_agg"),
-        )
-    )
-    joined = full_join_on([_event_hours(events, accuracy), table], "month")
+def _means_and_medians(of: Column) -> list[Column]:
+    """Mean over the rows of a monthly table of their means and of their medians, in hours, where ``of`` holds."""
+    return [
+        F.avg(F.when(of, hours(F.col("mean_duration_sec")))).alias("mean_hour_agg"),
+        F.avg(F.when(of, hours(F.col("median_duration_sec")))).alias("median_hour_agg"),
+    ]
+
+
+def _definitions(of: Column, accuracy: int) -> list[Column]:
+    """Every definition of a month's mean and median that a monthly table allows, in hours, where ``of`` holds."""
+    median = F.when(of, F.col("median_duration_sec"))
+    total, count = F.sum(F.when(of, F.col("total_duration_sec"))), F.sum(F.when(of, F.col("num_tracks")))
+    return [
+        hours(F.try_divide(total, count)).alias("mean_weighted"),
+        hours(F.avg(F.when(of, F.col("mean_duration_sec")))).alias("mean_unweighted"),
+        hours(F.avg(median)).alias("median_avg"),
+        F.percentile_approx(hours(median), 0.5, accuracy).alias("median_median"),
+        hours(F.max(median)).alias("median_max"),
+        hours(F.min(median)).alias("median_min"),
+    ]
+
+
+def _shown_delta(joined: DataFrame) -> DataFrame:
     return joined.select(
         "month",
         "mean_hour_events",
@@ -184,24 +217,7 @@ def events_vs_agg_delta(events: DataFrame, monthly: DataFrame, accuracy: int = 1
     ).orderBy("month")
 
 
-def events_vs_agg_candidates(
-    events: DataFrame, monthly: DataFrame, accuracy: int = 10_000
-) -> DataFrame:
-    """Event mean and median against every definition the monthly table allows, in hours."""
-    median = F.col("median_duration_sec")
-    table = (
-        _months(monthly, None, None)
-        .groupBy("month")
-        .agg(
-            hours(F.try_divide(F.sum("total_duration_sec"), F.sum("num_tracks"))).alias("mean_weighted"),
-            hours(F.avg("mean_duration_sec")).alias("mean_unweighted"),
-            hours(F.avg(median)).alias("median_avg"),
-            F.percentile_approx(hours(median), 0.5, accuracy).alias("median_median"),
-            hours(F.max(median)).alias("median_max"),
-            hours(F.min(median)).alias("median_min"),
-        )
-    )
-    joined = full_join_on([_event_hours(events, accuracy), table], "month")
+def _shown_candidates(joined: DataFrame) -> DataFrame:
     return joined.select(
         "month",
         F.col("mean_hour_events").alias("mean_events"),
@@ -215,6 +231,41 @@ def events_vs_agg_candidates(
     ).orderBy("month")
 
 
+def events_vs_agg_delta(events: DataFrame, monthly: DataFrame, accuracy: int = 10_000) -> DataFrame:
+    """Mean and median hours from events and from the monthly table, and their differences."""
+    table = _months(monthly, None, None).groupBy("month").agg(*_means_and_medians(F.lit(True)))
+    return _shown_delta(full_join_on([_event_hours(events, accuracy), table], "month"))
+
+
+def events_vs_agg_candidates(
+    events: DataFrame, monthly: DataFrame, accuracy: int = 10_000
+) -> DataFrame:
+    """Event mean and median against every definition the monthly table allows, in hours."""
+    table = _months(monthly, None, None).groupBy("month").agg(*_definitions(F.lit(True), accuracy))
+    return _shown_candidates(full_join_on([_event_hours(events, accuracy), table], "month"))
+
+
+def _statistics_of_events(of: Column) -> list[Column]:
+    """The events' own mean and median; the median is a value that occurs, and exact."""
+    return [
+        hours(F.max(F.when(of, F.col("mean_duration_sec")))).alias("mean_hour_events"),
+        hours(F.max(F.when(of, F.col("middle_duration_sec")))).alias("median_hour_events"),
+    ]
+
+
+def statistics_delta(statistics: DataFrame, events: str = "events") -> DataFrame:
+    """``events_vs_agg_delta`` from ready statistics per ``(kind, month, country)``: one kind holds the events
+    by month, the others are monthly tables. One grouping; nothing is read or joined again."""
+    own = F.col("kind") == events
+    return _shown_delta(statistics.groupBy("month").agg(*_statistics_of_events(own), *_means_and_medians(~own)))
+
+
+def statistics_candidates(statistics: DataFrame, events: str = "events", accuracy: int = 10_000) -> DataFrame:
+    """``events_vs_agg_candidates`` from ready statistics; see ``statistics_delta``."""
+    own = F.col("kind") == events
+    return _shown_candidates(statistics.groupBy("month").agg(*_statistics_of_events(own), *_definitions(~own, accuracy)))
+
+
 def unit_ratio_check(
     monthly: DataFrame,
     month: Month,

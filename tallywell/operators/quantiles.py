@@ -10,14 +10,16 @@ wanted rank is located by counting:
    counts, restricted to it, the value (at most 2**26 doubles to a finer cell).
 
 The rows are read twice and combined map-side; only values inside located cells are
-shuffled by value. No task ever sees a group's rows, only its cells.
+shuffled by value. No task ever sees a group's rows, only its cells. Several ranks, and several
+sources labelled in the key, go through the same two reads.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,14 +45,32 @@ def _coarse_cell(x: Column) -> Column:
 
 
 def _fine_cell(x: Column, lo: Column, hi: Column) -> Column:
-    """Equal cells between the smallest and largest value seen in the coarse cell."""
+    """Equal cells between the smallest and largest value seen in the coarse cell.
+
+    Never NULL, and written so that the planner sees it: a test for NULL pushed into one of
+    its two uses would part the exchange that they share."""
     part = F.try_divide(x - lo, hi - lo)
-    return F.when(lo < hi, F.floor(part * F.lit(FINE_CELLS))).otherwise(F.lit(0).cast("bigint"))
+    return F.coalesce(F.when(lo < hi, F.floor(part * F.lit(FINE_CELLS))), F.lit(0).cast("bigint"))
+
+
+@dataclass(frozen=True)
+class Rank:
+    """A wanted quantile: interpolated between two values, or the first value that at least ``q`` of
+    all do not exceed."""
 
+    q: float
+    interpolated: bool = True
 
-def _covers_rank(before: Column, count: Column) -> Column:
-    """Whether ranks ``[before, before + count)`` meet the two ranks around the position."""
-    return (before + count > F.floor("_pos")) & (before <= F.ceil("_pos"))
+    def position(self, n: Column) -> Column:
+        """0-based position among ``n`` ordered values."""
+        if self.interpolated:
+            return F.lit(float(self.q)) * (n - 1)
+        return F.greatest(F.ceil(F.lit(float(self.q)) * n) - 1, F.lit(0)).cast("double")
+
+    def covered(self, before: Column, count: Column) -> Column:
+        """Whether ranks ``[before, before + count)`` meet the two ranks around the position."""
+        position = self.position(F.col("_n"))
+        return (before + count > F.floor(position)) & (before <= F.ceil(position))
 
 
 def _running_before(before: Column, partition: Sequence[str], order: str) -> Column:
@@ -83,8 +103,9 @@ def distribution(
     moments: Sequence[str] = tuple(MOMENTS),
     sums: Mapping[str, Column] | None = None,
     quantile: str = "quantile",
+    ranks: Mapping[str, Rank] | None = None,
 ) -> DataFrame:
-    """Per group: the asked ``moments``, the ``sums`` and the exact quantile.
+    """Per group: the asked ``moments``, the ``sums`` and the exact quantile, or with ``ranks`` several by name.
 
     NULL values are no values, but their rows count in ``rows`` and ``sums``; a group
     without values has NULL statistics. ``sums`` are extra sum-able columns of ``rows``.
@@ -94,6 +115,11 @@ def distribution(
     if "stddev" in moments and "n" not in moments:
         raise ValueError("stddev needs n")
     keys, extra = list(keys), dict(sums or {})
+    wanted = dict(ranks) if ranks is not None else {quantile: Rank(q)}
+
+    def covers_any(before: Column, count: Column) -> Column:
+        return reduce(or_, [rank.covered(before, count) for rank in wanted.values()])
+
     x, count = F.col("_x"), F.col("_count")
     number = F.col(value).cast("double")
     base = rows.select(
@@ -118,17 +144,20 @@ def distribution(
         mean = F.sum("_sum").over(group) / F.nullif(F.sum("_count").over(group), F.lit(0))
         cells = cells.withColumn("_spread", count * (F.col("_var") + F.pow(F.col("_sum") / F.nullif(count, F.lit(0)) - mean, 2)))
     over_group = {m: F.expr(MOMENTS[m]) for m in moments} | {name: F.sum(name) for name in extra}
-    carried = ["_pos", *[f"_g_{name}" for name in over_group]]
+    carried = ["_n", *[f"_g_{name}" for name in over_group]]
     whole = cells.select(
         *[F.col(k).alias(f"_k_{k}") for k in keys],
         F.col("_coarse").alias("_cell"),
         "_count", "_lo", "_hi",
         _running_before(F.lit(0), keys, "_coarse").alias("_before"),
         F.sum("_count").over(group).alias("_n"),
-        (F.lit(float(q)) * (F.sum("_count").over(group) - 1)).alias("_pos"),
         *[agg.over(group).alias(f"_g_{name}") for name, agg in over_group.items()],
     )
-    located = whole.filter(F.col("_cell").isNotNull() & _covers_rank(F.col("_before"), count)).drop("_count", "_n")
+    if "stddev" in moments:
+        # here, below both uses, where "no values" can't be folded into it and part their exchanges
+        degrees = F.col("_g_n") - 1
+        whole = whole.withColumn("_g_stddev", F.when(degrees > 0, F.sqrt(F.col("_g_stddev") / degrees)))
+    located = whole.filter(F.col("_cell").isNotNull() & covers_any(F.col("_before"), count)).drop("_count")
     # Implied by _n = 0; with the same columns in use, both share one exchange of the cells.
     without = whole.filter("_n = 0 AND _lo IS NULL AND _hi IS NULL")
 
@@ -150,15 +179,15 @@ def distribution(
             *[F.col(k).alias(f"_f_{k}") for k in keys],
             F.col("_cell").alias("_f_cell"),
             F.col("_fine").alias("_f_fine"),
-            "_count", "_pos",
+            "_count", "_n",
             *[F.col(c).alias(f"_c{c}") for c in carried],
             _running_before(F.col("_before"), [*keys, "_cell"], "_fine").alias("_f_before"),
         )
-        .filter(_covers_rank(F.col("_f_before"), count))
-        .drop("_count", "_pos")
+        .filter(covers_any(F.col("_f_before"), count))
+        .drop("_count", "_n")
     )
 
-    # A group's located cells follow each other, so one running count per group covers them.
+    # The ranks may lie far apart, so the values are counted on within each located cell.
     # Reading the carried columns on both sides (they agree) lets both share one exchange of values.
     first_rank = F.greatest("_f_before", "_before")
     finer = [*_same(keys, "_f_"), F.col("_cell") == F.col("_f_cell"), F.col("_fine") == F.col("_f_fine")]
@@ -167,29 +196,31 @@ def distribution(
         .select(
             *keys, "_x", "_count",
             *[F.coalesce(c, f"_c{c}").alias(c) for c in carried],
-            _running_before(F.min(first_rank).over(group), keys, "_x").alias("_before"),
+            _running_before(first_rank, [*keys, "_cell", "_fine"], "_x").alias("_before"),
         )
-        .filter(_covers_rank(F.col("_before"), count))
-    )
-    picked = inner.groupBy(*keys).agg(
-        F.min(x).alias("_low"), F.max(x).alias("_high"), *[F.expr(f"max({c}) AS {c}") for c in carried]
+        .filter(covers_any(F.col("_before"), count))
     )
-    between = F.expr("_low + (_high - _low) * (_pos - floor(_pos))")
-    found = picked.select(
+    ends = []
+    for i, rank in enumerate(wanted.values()):
+        met = F.when(rank.covered(F.col("_before"), count), x)
+        ends += [F.min(met).alias(f"_low{i}"), F.max(met).alias(f"_high{i}")]
+    picked = inner.groupBy(*keys).agg(*ends, *[F.expr(f"max({c}) AS {c}") for c in carried])
+
+    def value_at(i: int, rank: Rank) -> Column:
+        low, high, position = F.col(f"_low{i}"), F.col(f"_high{i}"), rank.position(F.col("_n"))
+        return F.when(low == high, low).otherwise(low + (high - low) * (position - F.floor(position)))
+
+    return picked.select(
         *keys,
         *[F.col(f"_g_{name}").alias(name) for name in over_group],
-        F.when(F.expr("_low = _high"), F.col("_low")).otherwise(between).alias(quantile),
+        *[value_at(i, rank).alias(name) for i, (name, rank) in enumerate(wanted.items())],
     ).unionByName(
         without.select(
             *[F.col(f"_k_{k}").alias(k) for k in keys],
             *[F.col(f"_g_{name}").alias(name) for name in over_group],
-            F.lit(None).cast("double").alias(quantile),
+            *[F.lit(None).cast("double").alias(name) for name in wanted],
         )
     )
-    if "stddev" not in moments:
-        return found
-    known = F.col("n")
-    return found.withColumn("stddev", F.when(known > 1, F.sqrt(F.col("stddev") / (known - 1))))
 
 
 def exact_quantile(

@@ -54,18 +54,12 @@ class ReportTables:
     def monthly(self, source: str, start=None, end=None, median: bool = True) -> DataFrame:
         return star.recordings_monthly(*self.people(), source, start, end, median)
 
-    def by_source(self, sources=SOURCES, start=None, end=None) -> DataFrame:
-        return star.recordings_by_source(*self.people(), sources, start, end)
-
-    def monthly_of_events(self, source: str) -> DataFrame:
-        """The recordings table from the events, and that of one month of orders, which has no events."""
-        customer, nation = self.table("customer"), self.table("nation")
-        return stack(
-            [
-                star.events_monthly(self.table("events"), customer, nation, source),
-                self.monthly(source, S.LOOKUP_MONTH, S.LOOKUP_NEXT),
-            ]
-        )
+    def by_source(self, sources=SOURCES, start=None, end=None, median: bool = False) -> DataFrame:
+        return star.recordings_by_source(*self.people(), sources, start, end, median)
+
+    def events_beside_tables(self, source: str) -> DataFrame:
+        orders, customer, nation = self.people()
+        return star.events_beside_tables(self.table("events"), orders, customer, nation, source)
 
     def users(self, start=None, end=None) -> DataFrame:
         return star.active_users_monthly(*self.people(), start, end)
@@ -196,9 +190,8 @@ def numeric_totals_by_month(t: ReportTables) -> DataFrame:
 @query(places={"stddev_duration_sec": 4}, default=5)
 def numeric_totals_of_recordings(t: ReportTables) -> DataFrame:
     """Every numeric column of the recordings tables, means and medians included."""
-    tables = {
-        f"{s}_recording": t.monthly(s, S.FIRST_MONTH, S.AFTER_LAST_MONTH) for s in ("audio", "video")
-    }
+    rows = t.by_source(("audio", "video"), S.FIRST_MONTH, S.AFTER_LAST_MONTH, median=True)
+    tables = rows.withColumn("source", F.concat("source", F.lit("_recording")))
     return totals.numeric_totals_by_month(tables, S.FIRST_MONTH, S.LAST_MONTH)
 
 
@@ -295,17 +288,18 @@ def event_stats_by_hour(t: ReportTables) -> DataFrame:
 
 @query(default=7)
 def event_stats_side_by_side(t: ReportTables) -> DataFrame:
-    return durations.event_stats_side_by_side({s: t.events(s) for s in ("audio", "video")}, "DAY")
+    names = ("audio", "video")
+    return durations.event_stats_side_by_side(star.recording_events_by_source(t.table("events"), names), "DAY", names)
 
 
 @query(default=8)
 def events_vs_agg_delta(t: ReportTables) -> DataFrame:
-    return durations.events_vs_agg_delta(t.events("audio"), t.monthly_of_events("audio"))
+    return durations.statistics_delta(t.events_beside_tables("audio"))
 
 
 @query(default=8)
 def events_vs_agg_candidates(t: ReportTables) -> DataFrame:
-    return durations.events_vs_agg_candidates(t.events("audio"), t.monthly_of_events("audio"))
+    return durations.statistics_candidates(t.events_beside_tables("audio"))
 
 
 @query(places={"avg_ms": 1}, default=4)

@@ -85,7 +85,7 @@ def _monthly_of_events(source: str) -> str:
       GROUP BY 1, 2
       UNION ALL
       SELECT month, country, num_tracks, total_duration_sec, mean_duration_sec, median_duration_sec
-      FROM ({_monthly(source)}) AS m WHERE month = DATE '{S.LOOKUP_MONTH}'"""
+      FROM ({_monthly(source)}) AS m"""
 
 
 def _users() -> str:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tallywell.functions.numbers import at_least
 from tallywell.functions.periods import Instant, micros_of, within
-from tallywell.operators.quantiles import distribution
+from tallywell.operators.quantiles import Rank, distribution
 
 # Which rows stand for which source.
 EVENT_TYPES = {"audio": "click", "video": "view", "livestream": "purchase"}
@@ -39,6 +39,17 @@ def recording_events(events: DataFrame, source: str, as_micros: bool = False) ->
     )
 
 
+def recording_events_by_source(events: DataFrame, sources: Sequence[str] = tuple(EVENT_TYPES)) -> DataFrame:
+    """``(source, event_id, event_timestamp, duration_sec)`` of several sources from one read of the events."""
+    kinds = {s: EVENT_TYPES[s] for s in sources}
+    return events.filter(F.col("event_type").isin(*kinds.values())).select(
+        _source_of(F.col("event_type"), kinds).alias("source"),
+        F.col("event_id").cast("string").alias("event_id"),
+        F.col("ts").alias("event_timestamp"),
+        (F.col("value") * F.col("value")).alias("duration_sec"),
+    )
+
+
 def duration_view(events: DataFrame, source: str, as_micros: bool = False) -> DataFrame:
     """The second population: recordings of at least two seconds."""
     rows = recording_events(events, source, as_micros)
@@ -163,17 +174,41 @@ def recordings_sample(
     return _statistics(sold.join(F.broadcast(keys), same, "left_semi"), ["month", "country"], median=True)
 
 
-def events_monthly(
-    events: DataFrame, customer: DataFrame, nation: DataFrame, source: str, median: bool = True
+def events_beside_tables(
+    events: DataFrame, orders: DataFrame, customer: DataFrame, nation: DataFrame, source: str
 ) -> DataFrame:
-    """The recordings table of one source from the events themselves, by the users' countries."""
+    """Duration statistics per ``(kind, month, country)`` from one labelled job over both tables.
+
+    Kind ``events`` holds the events of a month as a whole (no country), ``events_table`` the monthly table
+    made of them by the users' countries, and ``orders_table`` that of the orders. An event counts in both
+    of its kinds by being doubled inside the task, before the counting that combines it.
+    """
     played = events.filter(F.col("event_type") == EVENT_TYPES[source]).select(
-        "user_id",
-        _month("ts").alias("month"),
-        (F.col("value") * F.col("value")).alias("seconds"),
-        F.lit(False).alias("lossless"),
+        "user_id", _month("ts").alias("month"), (F.col("value") * F.col("value")).alias("seconds")
+    )
+    played = with_country(played, "user_id", customer, nation)
+    whole = F.struct(F.lit("events").alias("kind"), F.lit(None).cast("string").alias("country"))
+    listed = F.struct(F.lit("events_table").alias("kind"), F.col("country").alias("country"))
+    played = played.select("month", "seconds", F.inline(F.array(whole, listed)))
+    sold = _sold(orders.filter(F.col("o_orderstatus") == ORDER_STATUS[source]), customer, nation)
+    sold = sold.select("month", "seconds", F.lit("orders_table").alias("kind"), "country")
+    spread = distribution(
+        played.unionByName(sold),
+        ["kind", "month", "country"],
+        "seconds",
+        moments=("rows", "n", "total"),
+        ranks={"median_duration_sec": Rank(0.5), "middle_duration_sec": Rank(0.5, interpolated=False)},
+    )
+    return spread.select(
+        "kind",
+        "month",
+        "country",
+        F.col("rows").alias("num_tracks"),
+        F.col("total").alias("total_duration_sec"),
+        F.try_divide("total", "n").alias("mean_duration_sec"),
+        "median_duration_sec",
+        "middle_duration_sec",
     )
-    return _statistics(with_country(played, "user_id", customer, nation), ["month", "country"], median)
 
 
 def active_users_monthly(

@@ -76,6 +76,23 @@ def test_event_statistics_read_events_twice(spark, tables):
     assert scans(plan) <= 2
 
 
+@pytest.mark.parametrize(
+    ("name", "events", "orders"),
+    [
+        ("event_stats_side_by_side", 2, 0),
+        ("events_vs_agg_delta", 2, 2),
+        ("events_vs_agg_candidates", 2, 2),
+        ("numeric_totals_of_recordings", 0, 3),  # a third read, where one exchange is not shared
+    ],
+)
+def test_labelled_quantile_job_reads_each_table_twice(spark, name, events, orders):
+    plan = executed(catalog.queries()[name](spark, SF_DIR))
+    # only the events have these columns; reused exchanges read nothing
+    assert len(re.findall(r"FileScan parquet \[[^]]*event_type#", plan)) <= events
+    assert len(re.findall(r"FileScan parquet \[[^]]*o_orderstatus#", plan)) <= orders
+    assert "FileScan" in plan
+
+
 @pytest.mark.parametrize(
     ("name", "table", "most"),
     [

@@ -9,7 +9,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from tallywell.operators.quantiles import _coarse_cell, distribution, exact_quantile
+from tallywell.operators.quantiles import Rank, _coarse_cell, distribution, exact_quantile
 
 
 def interpolated(values: list[float], q: float) -> float:
@@ -111,3 +111,28 @@ def test_same_without_broadcasts(spark, rows):
 def test_no_group_is_gathered(rows):
     plan = exact_quantile(rows, ["g"], "x")._jdf.queryExecution().executedPlan().toString().lower()
     assert "collect_" not in plan and "percentile(" not in plan and "objecthashaggregate" not in plan
+
+
+def test_several_ranks_of_labelled_sources_in_one_job(spark):
+    rng = random.Random(21)
+    groups = {
+        ("a", 1): [rng.lognormvariate(3, 2) for _ in range(997)],
+        ("a", 2): [5.0] * 300 + [rng.uniform(-9, 9) for _ in range(200)],
+        ("b", 1): [1.5],
+        ("b", None): [2.0, 8.0, -4.0, 8.0],
+        ("b", 3): [None, None],
+    }
+    df = spark.createDataFrame([(s, g, x) for (s, g), xs in groups.items() for x in xs], "source string, g int, x double").repartition(4)
+    levels = (0.0, 0.1, 0.5, 0.9, 0.999, 1.0)
+    ranks = {f"between{i}": Rank(q) for i, q in enumerate(levels)} | {f"element{i}": Rank(q, False) for i, q in enumerate(levels)}
+    got = {(r["source"], r["g"]): r for r in distribution(df, ["source", "g"], "x", ranks=ranks).collect()}
+    assert set(got) == set(groups)
+    for key, xs in groups.items():
+        known = sorted(x for x in xs if x is not None)
+        assert got[key]["n"] == len(known) and got[key]["rows"] == len(xs)
+        for i, q in enumerate(levels):
+            if not known:
+                assert got[key][f"between{i}"] is None and got[key][f"element{i}"] is None
+                continue
+            assert got[key][f"between{i}"] == pytest.approx(interpolated(known, q), rel=1e-12)
+            assert got[key][f"element{i}"] == known[max(math.ceil(q * len(known)) - 1, 0)]
