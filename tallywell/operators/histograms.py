@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallywell.functions.bins import DURATION_BINS, FINE_BINS, BinSpec
 from tallywell.functions.periods import Instant, before, within
+from tallywell.sources.tables import stack_distinct
 
 
 def binned_counts(
@@ -104,6 +105,27 @@ def histogram_cutoff_comparison(
     )
 
 
+def snapshot_comparison(
+    first: DataFrame, second: DataFrame, names: tuple[str, str] = ("first", "second"), bins: BinSpec = DURATION_BINS
+) -> DataFrame:
+    """Two histograms of different rows, bin by bin, over every label that either of them has.
+
+    The distinct union of the labels drives two left joins: a bin that one side lacks counts 0 there,
+    while its share and the difference of shares stay NULL. All three are as small as the bins.
+    """
+    sides = {name: side.select("bin", "cnt", "pct") for name, side in zip(names, (first, second))}
+    joined = stack_distinct(side.select("bin") for side in sides.values())
+    for name, side in sides.items():
+        joined = joined.join(side.withColumnsRenamed({"cnt": f"cnt_{name}", "pct": f"pct_{name}"}), "bin", "left")
+    a, b = names
+    return joined.select(
+        "bin",
+        *[F.coalesce(f"cnt_{name}", F.lit(0)).alias(f"cnt_{name}") for name in names],
+        *[f"pct_{name}" for name in names],
+        (F.col(f"pct_{a}") - F.col(f"pct_{b}")).alias("pct_delta"),
+    ).orderBy(bins.ordinal_of_label(F.col("bin")))
+
+
 def fine_bin_counts(events: DataFrame, bins: BinSpec = FINE_BINS) -> DataFrame:
     """``(label, lo, hi, count)`` for every bin, zeros included; an open bin ends at infinity."""
     ordinal = bins.ordinal(F.col("duration_sec"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from datetime import date
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -255,6 +256,21 @@ def ordered_sample(
     return rows.orderBy(*order).limit(n)
 
 
+def sample_facts(df: DataFrame, n: int) -> DataFrame:
+    """``(rows, columns, complete)`` of any ``n`` rows: what can be said of a bare limit whichever rows it took.
+
+    ``complete`` counts the rows without a NULL. The limit stands right above the scan, so reading
+    stops with the first rows.
+    """
+    taken = sample(df, n)
+    complete = reduce(and_, [F.col(f"`{c}`").isNotNull() for c in df.columns])
+    return taken.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.lit(len(df.columns)).alias("columns"),
+        F.count_if(complete).alias("complete"),
+    )
+
+
 def sample(rows: DataFrame, n: int = 10) -> DataFrame:
     """Any ``n`` rows."""
     return rows.limit(n)

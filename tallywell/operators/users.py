@@ -115,6 +115,57 @@ def distinct_users(
     return events.select("period", "user").distinct()
 
 
+def user_bitmaps(
+    raw: DataFrame,
+    event_names: Mapping[str, str],
+    key: str = "duration",
+    min_value: float = 2.0,
+    grain: str = "DAY",
+    strict: bool = True,
+) -> DataFrame:
+    """``(period, bucket, users_<label>..., users_total)``: the distinct users of a period as bitmaps.
+
+    A row covers 32,768 user numbers, so a period takes as many rows as the numbers have buckets, and an
+    active user is one bit however many events they have; bits are set before the shuffle. Users must be
+    whole numbers. Events without a user keep their period in a row without bits.
+    """
+    events = qualifying_events(raw, event_names, key, min_value, grain, strict)
+    number = F.col("user").try_cast("bigint")
+    complaint = F.raise_error(F.concat(F.lit("not a user number: "), F.col("user"))).cast("bigint")
+    numbered = events.withColumn("_number", F.when(F.col("user").isNotNull() & number.isNull(), complaint).otherwise(number))
+    bit = F.bitmap_bit_position("_number")
+    return numbered.groupBy("period", F.bitmap_bucket_number("_number").alias("bucket")).agg(
+        *[
+            F.bitmap_construct_agg(F.when(F.col("event_name") == name, bit)).alias(f"users_{label}")
+            for label, name in event_names.items()
+        ],
+        F.bitmap_construct_agg(bit).alias("users_total"),
+    )
+
+
+def active_users_from_bitmaps(bitmaps: DataFrame, grain: str | None = "MONTH") -> DataFrame:
+    """Distinct users per coarser period from the bitmaps of finer ones, or with no grain of all periods together.
+
+    A user of two days is one bit of both and of their union, so nothing counts twice and no event is
+    read again.
+    """
+    columns = [c for c in bitmaps.columns if c.startswith("users_")]
+    period = F.lit(None).cast("date")
+    if grain is not None:
+        name = grain_name(grain)
+        if name != "DAY" and name not in CALENDAR_GRAINS:
+            raise ValueError("bitmaps are kept by day; use DAY or a coarser grain")
+        period = F.col("period") if name == "DAY" else F.trunc(F.col("period"), CALENDAR_GRAINS[name])
+    united = bitmaps.groupBy(period.alias("period"), "bucket").agg(*[F.bitmap_or_agg(c).alias(c) for c in columns])
+    counted = united.groupBy("period").agg(
+        *[
+            F.sum(F.bitmap_count(c)).alias("total_active" if c == "users_total" else f"active_{c.removeprefix('users_')}")
+            for c in columns
+        ]
+    )
+    return counted.orderBy("period") if grain is not None else counted.drop("period")
+
+
 USER_COUNTS = (
     "active_audio_users",
     "active_video_users",

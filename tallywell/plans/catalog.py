@@ -11,10 +11,10 @@ from pyspark.sql import types as T
 from tallywell.functions.bins import DURATION_BINS
 from tallywell.functions.numbers import at_least
 from tallywell.functions.periods import before, within
-from tallywell.operators import durations, histograms, reconcile, sweeps, totals, users
+from tallywell.operators import durations, histograms, reconcile, sketches, sweeps, totals, users
 from tallywell.plans import settings as S
-from tallywell.sources import star
-from tallywell.sources.tables import read_table, stack, tag
+from tallywell.sources import star, storage
+from tallywell.sources.tables import read_table, stack, tag, target_histogram, target_series
 
 Query = Callable[[SparkSession, str], DataFrame]
 SOURCES = ("audio", "video", "livestream")
@@ -30,6 +30,7 @@ class ReportTables:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.spark, self.sf_dir = spark, sf_dir
         self._tables: dict[str, DataFrame] = {}
+        self._shards: tuple[str, T.StructType] | None = None
 
     def table(self, name: str) -> DataFrame:
         """One DataFrame per table, so its footer is read once per query."""
@@ -71,6 +72,22 @@ class ReportTables:
         return star.transfers_by_source(self.table("lineitem"), start, end, tracks)
 
 
+    def written_shards(self) -> tuple[str, T.StructType]:
+        """The events in the layout of an export, one folder per day; once per query."""
+        if self._shards is None:
+            rows = star.located_events(self.table("events"), self.table("customer"), self.table("nation"))
+            root = storage.work_path(self.spark, "events")
+            storage.write_shards(rows, root, files_per_day=1 + self.table("events").count() // S.SHARD_ROWS)
+            self._shards = root, rows.schema
+        return self._shards
+
+    def shards(self, first_day: str | None = None, last_day: str | None = None) -> DataFrame:
+        return storage.read_day_shards(self.spark, *self.written_shards(), first_day, last_day)
+
+    def shard_events(self, source: str, first_day: str | None = None, last_day: str | None = None) -> DataFrame:
+        return self.shards(first_day, last_day).filter(F.col("source") == source).drop("source")
+
+
 def portable(df: DataFrame, places: Mapping[str, int] | None = None, default: int = 6) -> DataFrame:
     """Result columns as two engines print them alike: rounded doubles, dates as text.
 
@@ -141,6 +158,25 @@ def distinct_user_months(t: ReportTables) -> DataFrame:
     return users.distinct_users(t.raw(), star.EVENT_TYPES, grain="MONTH")
 
 
+def _day_bitmaps(t: ReportTables) -> DataFrame:
+    """The users of every day as bitmaps, kept as a table: later questions read it, not the events."""
+    path = storage.work_path(t.spark, "user_bitmaps")
+    users.user_bitmaps(t.raw(), star.EVENT_TYPES).write.parquet(path)
+    return t.spark.read.parquet(path)
+
+
+@query()
+def active_users_from_bitmaps(t: ReportTables) -> DataFrame:
+    return users.active_users_from_bitmaps(_day_bitmaps(t), "MONTH")
+
+
+@query()
+def active_users_of_range(t: ReportTables) -> DataFrame:
+    """Distinct users of any range of days, which monthly counts can't give."""
+    days = _day_bitmaps(t).filter(F.col("period").between(F.lit(S.FIRST_DAY).cast("date"), F.lit(S.AFTER_LAST_DAY).cast("date")))
+    return users.active_users_from_bitmaps(days, None)
+
+
 @query()
 def active_users_by_month(t: ReportTables) -> DataFrame:
     return users.active_users_by_month(t.users(start=S.SINCE_DAY), S.SINCE)
@@ -218,6 +254,32 @@ def ordered_sample(t: ReportTables) -> DataFrame:
     return totals.ordered_sample(first)
 
 
+@query()
+def bare_limit(t: ReportTables) -> DataFrame:
+    """Any rows will do: only what holds for all of them is reported."""
+    return totals.sample_facts(t.table("events").select("event_id", "event_type", "value"), S.SAMPLE_ROWS)
+
+
+@query(default=4)
+def rewritten_day(t: ReportTables) -> DataFrame:
+    """Totals by day and source, written once; one day is then replaced, twice, by what was known at the cutoff."""
+    path = storage.work_path(t.spark, "day_totals")
+
+    def day_totals(events: DataFrame) -> DataFrame:
+        dated = storage.with_day(events)
+        return dated.groupBy(storage.DAY_COLUMN, "source").agg(
+            F.count(F.lit(1)).alias("events"), F.sum("duration_sec").alias("total_duration_sec")
+        )
+
+    events = star.recording_events_by_source(t.table("events"))
+    totals_by_day = day_totals(events)
+    storage.replace_partitions(totals_by_day, path, [storage.DAY_COLUMN])
+    known = events.filter(within(events, "event_timestamp", S.REFINE_START, S.CUTOFF))
+    for _ in range(2):
+        storage.replace_partitions(day_totals(known), path, [storage.DAY_COLUMN])
+    return t.spark.read.schema(totals_by_day.schema).parquet(path)
+
+
 # --- durations --------------------------------------------------------------------------
 
 
@@ -302,6 +364,27 @@ def events_vs_agg_candidates(t: ReportTables) -> DataFrame:
     return durations.statistics_candidates(t.events_beside_tables("audio"))
 
 
+ROLL_UPS = {"month": ("source", "month"), "country": ("source", "country"), "source": ("source",), "all": ()}
+
+
+@query(default=4)
+def sketched_medians(t: ReportTables) -> DataFrame:
+    """Medians of every roll-up of the monthly table from its kept sketches, held against all recordings.
+
+    The estimate itself depends on how the rows were split, so the report shows what is exact and
+    whether the median's rank lies within twice the sketch's error.
+    """
+    rows = star.recordings(*t.people())
+    path = storage.work_path(t.spark, "sketches")
+    sketches.sketch_table(rows, ["source", "month", "country"], "duration_sec").write.parquet(path)
+    found = sketches.quantiles(sketches.levels(t.spark.read.parquet(path), ROLL_UPS), {"median": 0.5})
+    checked = sketches.rank_check(rows, ROLL_UPS, "duration_sec", found, "median", 0.5, 2 * sketches.rank_error())
+    keys = ("level", "source", "month", "country")
+    right = checked.select(*[F.col(c).alias(f"_{c}") for c in keys], "within")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
+    return found.join(right, same, "left").select(*keys, "n", "lowest", "highest", "within")
+
+
 @query(places={"avg_ms": 1}, default=4)
 def unit_ratio_check(t: ReportTables) -> DataFrame:
     monthly = t.monthly("video", S.FIRST_MONTH, S.AFTER_LAST_MONTH, median=False)
@@ -348,6 +431,48 @@ def histogram_cutoff_comparison(t: ReportTables) -> DataFrame:
     return histograms.histogram_cutoff_comparison(t.events("audio"), S.CUTOFF)
 
 
+@query()
+def shard_histogram_date_range(t: ReportTables) -> DataFrame:
+    """The date range read from the shards of its days alone."""
+    events = t.shard_events("audio", S.FIRST_SHARD, S.LAST_SHARD)
+    return histograms.duration_histogram_date_range(events, S.FIRST_DAY, S.AFTER_LAST_DAY)
+
+
+@query()
+def shard_histogram_cutoff(t: ReportTables) -> DataFrame:
+    """The cutoff compared with times stored as whole microseconds."""
+    return histograms.duration_histogram_cutoff(t.shard_events("audio"), S.CUTOFF)
+
+
+@query(default=7)
+def shard_event_stats_by_day(t: ReportTables) -> DataFrame:
+    return durations.event_stats_by_month(t.shard_events("audio"), "DAY")
+
+
+@query(default=10)
+def shard_cutoff_sweep_hourly(t: ReportTables) -> DataFrame:
+    target = histograms.duration_histogram_cutoff(t.shard_events("audio"), S.CUTOFF)
+    return sweeps.cutoff_sweep(t.shard_events("audio"), target.select("bin", F.col("pct").alias("target")), "HOUR")
+
+
+@query(default=4)
+def shard_countries(t: ReportTables) -> DataFrame:
+    """Every shard, no day asked for: recordings by source and country."""
+    return t.shards().groupBy("source", "country").agg(
+        F.count(F.lit(1)).alias("num_tracks"),
+        F.sum("duration_sec").alias("total_duration_sec"),
+        F.count_distinct(storage.DAY_COLUMN).alias("days"),
+    )
+
+
+@query(places={"pct_delta": 9})
+def histogram_snapshot_labels(t: ReportTables) -> DataFrame:
+    """A range of days against a snapshot of shorter recordings, over the labels of either."""
+    days = histograms.duration_histogram_date_range(t.events("audio"), S.FIRST_DAY, S.AFTER_LAST_DAY)
+    short = t.events("audio").filter(F.col("duration_sec") < S.SNAPSHOT_LONGEST)
+    return histograms.snapshot_comparison(days, histograms.duration_histogram_cutoff(short, S.CUTOFF), ("days", "short"))
+
+
 def _fine_counts(t: ReportTables) -> DataFrame:
     return stack(tag(histograms.fine_bin_counts(t.events(s)), s) for s in ("audio", "video"))
 
@@ -444,14 +569,12 @@ def cutoff_refine_seconds(t: ReportTables) -> DataFrame:
 
 
 def _series(t: ReportTables) -> tuple[DataFrame, DataFrame]:
-    """Median series against itself with one month shifted in the target and one missing in ours."""
+    """The computed median series and the report's numbers."""
     monthly = t.monthly("video", S.FIRST_MONTH, S.AFTER_LAST_MONTH)
-    series = durations.mean_exact_median_by_month(monthly).select(
-        F.date_format("month", "yyyy-MM").alias("key"), F.col("median_duration_sec").alias("value")
+    got = durations.mean_exact_median_by_month(monthly).select(
+        F.date_format("month", "yyyy-MM").alias("key"), F.col("median_duration_sec").alias("got")
     )
-    got = series.filter(F.col("key") != S.MISSING_KEY).select("key", F.col("value").alias("got"))
-    shifted = F.when(F.col("key") == S.SHIFTED_KEY, F.col("value") + 1.0).otherwise(F.col("value"))
-    return got, series.select("key", shifted.alias("target"))
+    return got, target_series(t.spark, S.TARGET_MEDIANS)
 
 
 @query(default=4)
@@ -467,4 +590,4 @@ def series_compare_summary(t: ReportTables) -> DataFrame:
 @query(default=9)
 def histogram_compare(t: ReportTables) -> DataFrame:
     got = histograms.duration_histogram(t.view("audio"))
-    return reconcile.histogram_compare(got, _target(t), tol=1e-3, bins=DURATION_BINS)
+    return reconcile.histogram_compare(got, target_histogram(t.spark, S.TARGET_SHARES), tol=1e-3, bins=DURATION_BINS)

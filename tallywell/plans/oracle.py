@@ -492,18 +492,86 @@ def _sweep_deltas() -> str:
       JOIN target AS t ON t.bin_ord = v.bin_ord"""
 
 
+def _values(rows: dict[str, float], names: str) -> str:
+    return f"SELECT * FROM (VALUES {', '.join(f"('{k}', CAST({v} AS DOUBLE))" for k, v in rows.items())}) AS v({names})"
+
+
 def _series() -> str:
     return f"""
-      series AS (SELECT strftime(month, '%Y-%m') AS key, quantile_cont(median_duration_sec, 0.5) AS value
-                 FROM ({_monthly('video')}) AS m WHERE {_RANGE} GROUP BY 1),
-      target AS (SELECT key, CASE WHEN key = '{S.SHIFTED_KEY}' THEN value + 1.0 ELSE value END AS target
-                 FROM series),
-      got AS (SELECT key, value AS got FROM series WHERE key <> '{S.MISSING_KEY}'),
+      got AS (SELECT strftime(month, '%Y-%m') AS key, quantile_cont(median_duration_sec, 0.5) AS got
+              FROM ({_monthly('video')}) AS m WHERE {_RANGE} GROUP BY 1),
+      target AS ({_values(S.TARGET_MEDIANS, 'key, target')}),
       compared AS (SELECT key, got, target, got - target AS delta,
                           got IS NULL OR abs(got - target) > {S.SERIES_TOLERANCE} AS mismatch
                    FROM target LEFT JOIN got USING (key))"""
 
 
+def _users_of_range() -> str:
+    counts = ", ".join(
+        f"count(DISTINCT CASE WHEN event_type = '{kind}' THEN user_id END) AS active_{label}"
+        for label, kind in EVENT_TYPES.items()
+    )
+    kinds = ", ".join(f"'{k}'" for k in EVENT_TYPES.values())
+    return (
+        f"SELECT {counts}, count(DISTINCT user_id) AS total_active FROM events WHERE event_type IN ({kinds}) "
+        f"AND value >= 2.0 AND CAST(ts AS DATE) BETWEEN DATE '{S.FIRST_DAY}' AND DATE '{S.AFTER_LAST_DAY}'"
+    )
+
+
+_SOURCE_OF_EVENT = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{s}'" for s, k in EVENT_TYPES.items()) + " END"
+_SOURCE_OF_ORDER = "CASE o_orderstatus " + " ".join(f"WHEN '{k}' THEN '{s}'" for s, k in ORDER_STATUS.items()) + " END"
+
+
+def _rewritten_day() -> str:
+    return f"""
+      SELECT strftime(ts, '%Y%m%d') AS event_date, source, count(*) AS events,
+             {_r('sum(value * value)', 4)} AS total_duration_sec
+      FROM (SELECT *, {_SOURCE_OF_EVENT} AS source FROM events) AS e
+      WHERE source IS NOT NULL
+        AND (strftime(ts, '%Y%m%d') <> '{S.REWRITTEN_DAY}' OR ts < TIMESTAMP '{S.CUTOFF}')
+      GROUP BY 1, 2"""
+
+
+def _shard_countries() -> str:
+    return f"""
+      SELECT {_SOURCE_OF_EVENT} AS source, coalesce(n_name, '') AS country, count(*) AS num_tracks,
+             {_r('sum(value * value)', 4)} AS total_duration_sec, count(DISTINCT CAST(ts AS DATE)) AS days
+      FROM events LEFT JOIN customer ON user_id = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey
+      WHERE {_SOURCE_OF_EVENT} IS NOT NULL GROUP BY 1, 2"""
+
+
+def _sketched_medians() -> str:
+    rows = f"""
+      SELECT {_SOURCE_OF_ORDER} AS source, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS month,
+             coalesce(n_name, '') AS country, o_totalprice AS x
+      FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey
+      WHERE o_orderstatus IN ({', '.join(f"'{k}'" for k in ORDER_STATUS.values())})"""
+    keys = {"month": ("source", "month"), "country": ("source", "country"), "source": ("source",), "all": ()}
+    parts = []
+    for level, kept in keys.items():
+        shown = ", ".join(k if k in kept else f"CAST(NULL AS VARCHAR) AS {k}" for k in ("source", "month", "country"))
+        grouped = f"GROUP BY {', '.join(kept)}" if kept else ""
+        parts.append(
+            f"SELECT '{level}' AS level, {shown}, count(x) AS n, {_r('min(x)', 4)} AS lowest, "
+            f"{_r('max(x)', 4)} AS highest, true AS within FROM recorded {grouped}"
+        )
+    return f"WITH recorded AS ({rows}) {' UNION ALL '.join(parts)}"
+
+
+def _snapshot_labels(day_range: str) -> str:
+    short = (
+        f"SELECT * FROM ({_events('audio')}) AS e "
+        f"WHERE duration_sec < {S.SNAPSHOT_LONGEST} AND ts < TIMESTAMP '{S.CUTOFF}'"
+    )
+    return f"""
+      WITH {_BIN_NAMES}, days AS ({_histogram(day_range)}), short AS ({_histogram(short)}),
+           labels AS (SELECT bin FROM days UNION SELECT bin FROM short)
+      SELECT l.bin, coalesce(days.cnt, 0) AS cnt_days, coalesce(short.cnt, 0) AS cnt_short,
+             {_r('days.pct')} AS pct_days, {_r('short.pct')} AS pct_short,
+             {_r('days.pct - short.pct', 9)} AS pct_delta
+      FROM labels AS l LEFT JOIN days ON days.bin = l.bin LEFT JOIN short ON short.bin = l.bin"""
+
+
 def oracle_sql() -> dict[str, str]:
     audio = {"events": _events("audio")}
     two = {"events": _events("audio"), "view": _view("video")}
@@ -527,6 +595,8 @@ def oracle_sql() -> dict[str, str]:
             "SELECT DISTINCT strftime(date_trunc('month', ts), '%Y-%m-%d') AS period, "
             f"CAST(user_id AS VARCHAR) AS user FROM events WHERE event_type IN ({kinds}) AND value >= 2.0"
         ),
+        "active_users_from_bitmaps": _active_from_events("month"),
+        "active_users_of_range": _users_of_range(),
         "active_users_by_month": (
             f"SELECT {_text()} AS month, "
             + ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in user_counts)
@@ -596,6 +666,22 @@ def oracle_sql() -> dict[str, str]:
         "event_stats_side_by_side": _side_by_side(),
         "events_vs_agg_delta": _events_vs_agg_delta(),
         "events_vs_agg_candidates": _events_vs_agg_candidates(),
+        "bare_limit": (
+            f"SELECT least(count(*), {S.SAMPLE_ROWS}) AS rows, 3 AS columns, least(count(*), {S.SAMPLE_ROWS}) AS complete "
+            "FROM events HAVING count(*) = count(event_id) AND count(*) = count(event_type) AND count(*) = count(value)"
+        ),
+        "rewritten_day": _rewritten_day(),
+        "sketched_medians": _sketched_medians(),
+        "shard_histogram_date_range": _shown_histogram(day_range),
+        "shard_histogram_cutoff": _shown_histogram(
+            f"SELECT * FROM ({_events('audio')}) AS e WHERE ts < TIMESTAMP '{S.CUTOFF}'"
+        ),
+        "shard_event_stats_by_day": _shown_event_stats("audio", "day"),
+        "shard_cutoff_sweep_hourly": (
+            f"WITH {_sweep(audio, 'hour', S.CUTOFF)} {_shown_sweep('', 'ranked', 'WHERE rn = 1')}"
+        ),
+        "shard_countries": _shard_countries(),
+        "histogram_snapshot_labels": _snapshot_labels(day_range),
         "unit_ratio_check": _unit_ratio(),
         "duration_histogram": _shown_histogram(_events("audio")),
         "duration_histogram_view": _shown_histogram(_view("video")),
@@ -651,7 +737,8 @@ def oracle_sql() -> dict[str, str]:
             f"{_r('max(abs(delta))', 4)} AS max_abs_delta FROM compared"
         ),
         "histogram_compare": (
-            f"WITH {_BIN_NAMES}, got AS ({_histogram(_view('audio'))}), target AS ({_target()}) "
+            f"WITH {_BIN_NAMES}, got AS ({_histogram(_view('audio'))}), "
+            f"target AS ({_values(S.TARGET_SHARES, 'bin, target')}) "
             f"SELECT t.bin, {_r('got.pct', 9)} AS got, {_r('t.target', 9)} AS target, "
             f"{_r('got.pct - t.target', 9)} AS delta, "
             "got.pct IS NULL OR abs(got.pct - t.target) > 0.001 AS mismatch "

@@ -50,6 +50,21 @@ def recording_events_by_source(events: DataFrame, sources: Sequence[str] = tuple
     )
 
 
+def located_events(events: DataFrame, customer: DataFrame, nation: DataFrame) -> DataFrame:
+    """All recordings in the layout of an event export: ``(event_id, event_timestamp, country, duration_sec, source)``,
+    the time as BIGINT microseconds, the country that of the user."""
+    rows = events.select(
+        "user_id",
+        F.col("event_id").cast("string").alias("event_id"),
+        micros_of(events, "ts").alias("event_timestamp"),
+        (F.col("value") * F.col("value")).alias("duration_sec"),
+        _source_of(F.col("event_type"), EVENT_TYPES).alias("source"),
+    ).filter("source IS NOT NULL")
+    return with_country(rows, "user_id", customer, nation).select(
+        "event_id", "event_timestamp", "country", "duration_sec", "source"
+    )
+
+
 def duration_view(events: DataFrame, source: str, as_micros: bool = False) -> DataFrame:
     """The second population: recordings of at least two seconds."""
     rows = recording_events(events, source, as_micros)
@@ -130,6 +145,14 @@ def _sold(orders: DataFrame, customer: DataFrame, nation: DataFrame) -> DataFram
     return with_country(sold, "o_custkey", customer, nation)
 
 
+def recordings(
+    orders: DataFrame, customer: DataFrame, nation: DataFrame, sources: Sequence[str] = tuple(ORDER_STATUS)
+) -> DataFrame:
+    """``(source, month, country, duration_sec)``: the single recordings behind the monthly tables."""
+    wanted = orders.filter(F.col("o_orderstatus").isin([ORDER_STATUS[s] for s in sources]))
+    return _sold(wanted, customer, nation).select("source", "month", "country", F.col("seconds").alias("duration_sec"))
+
+
 def recordings_monthly(
     orders: DataFrame,
     customer: DataFrame,
