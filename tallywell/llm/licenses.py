@@ -11,21 +11,25 @@ them; these size bounds prune the candidate templates, and a match shares at lea
 template's bigrams. So a document that holds none of a few words of each template, chosen such
 that too few bigrams are left without them, needs no further look; that prune loses nothing.
 
+Versions and variants of one text differ in a word or two, so their coefficients are high for each
+other. Where a licence has marks (``MARKS``), a template that holds them matches only what
+holds them too: "version 2" is no match for the template of version 3, however like the rest is.
+
 Defined cases: null and empty texts match nothing; a template needs two words at least. Rows of
 one id are reported together. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import functools
 import math
-import operator
 import re
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallywell.llm.common import stored
+
 LEAST_DICE = 0.8
 
 # Notices of well-known licences, as their publishers word them.
@@ -70,8 +74,80 @@ TEMPLATES = [
     ),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    (
+        "MIT",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED "
+        "TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL "
+        "THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF "
+        "CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER "
+        "DEALINGS IN THE SOFTWARE.",
+    ),
+    (
+        "Apache-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is "
+        "distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. "
+        "See the License for the specific language governing permissions and limitations under the License.",
+    ),
+    (
+        "BSD",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED "
+        "WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A "
+        "PARTICULAR PURPOSE ARE DISCLAIMED.",
+    ),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    (
+        "GPL-2.0",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
+        "Public License as published by the Free Software Foundation; either version 2 of the License, or (at your "
+        "option) any later version.",
+    ),
+    (
+        "AGPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero "
+        "General Public License as published by the Free Software Foundation, either version 3 of the License, or (at "
+        "your option) any later version.",
+    ),
+    (
+        "LGPL-3.0",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser "
+        "General Public License as published by the Free Software Foundation, either version 3 of the License, or (at "
+        "your option) any later version.",
+    ),
+    (
+        "LGPL-2.1",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser "
+        "General Public License as published by the Free Software Foundation; either version 2.1 of the License, or "
+        "(at your option) any later version.",
+    ),
+    (
+        "CC0-1.0",
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to "
+        "this work.",
+    ),
+    (
+        "EPL-2.0",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License "
+        "2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    ),
 ]
 
+# What tells licences of nearly the same wording apart.
+MARKS = {
+    "GPL-2.0": ("gnu general", "version 2"),
+    "GPL-3.0": ("gnu general", "version 3"),
+    "AGPL-3.0": ("gnu affero", "version 3"),
+    "LGPL-2.1": ("gnu lesser", "version 2"),
+    "LGPL-3.0": ("gnu lesser", "version 3"),
+    "CC-BY-4.0": ("attribution 4", "by 4"),
+    "CC-BY-SA-4.0": ("sharealike 4", "sa 4"),
+    "CC-BY-NC-4.0": ("nc 4",),
+}
+
 
 def normal_words(text: str) -> list[str]:
     return re.sub(r"[^a-z0-9]+", " ", text.lower()).split()
@@ -81,6 +157,12 @@ def bigrams_of(words: list[str]) -> set[str]:
     return {f"{a} {b}" for a, b in zip(words, words[1:], strict=False)}
 
 
+def marks_of(name: str, body: str) -> list[str]:
+    """The bigrams of the template that a match must have."""
+    own = bigrams_of(normal_words(body))
+    return [mark for mark in MARKS.get(name, ()) if mark in own]
+
+
 def required_words(body: str, least: float) -> tuple[list[str], int]:
     """The template's longest words, as many as leave fewer bigrams without them than a match must share: every
     match holds one of them. And how many of the template's words a match holds at least: n shared bigrams of
@@ -102,16 +184,17 @@ def required_words(body: str, least: float) -> tuple[list[str], int]:
     return some, held
 
 
-def may_match(text: Column, templates: list[tuple[str, str]], least: float) -> list[Column]:
-    """Per template, false only for texts without a match: plain substring tests on the lower-cased text."""
+def may_match(text: str, templates: list[tuple[str, str]], least: float) -> list[str]:
+    """Per template an SQL condition, false only for texts without a match: plain substring tests on the lower-cased
+    text that the name ``text`` stands for."""
     tests = []
     for _, body in templates:
         some, held = required_words(body, least)
-        test = functools.reduce(operator.or_, [text.contains(w) for w in some])
+        test = " OR ".join(f"contains({text}, '{w}')" for w in some)
         if held > 1:
-            found = [text.contains(w).cast("int") for w in dict.fromkeys(normal_words(body))]
-            test = test & (functools.reduce(operator.add, found) >= held)
-        tests.append(test)
+            found = " + ".join(f"CAST(contains({text}, '{w}') AS INT)" for w in dict.fromkeys(normal_words(body)))
+            test = f"({test}) AND {found} >= {held}"
+        tests.append(f"({test})")
     return tests
 
 
@@ -152,13 +235,14 @@ def bigrams(unit: Column) -> Column:
     return F.array_distinct(bigrams_in_order(unit))
 
 
-def best_window(grams: Column, own: Column, low: Column, span: Column) -> Column:
+def best_window(grams: Column, own: Column, marks: Column, low: Column, span: Column) -> Column:
     """The greatest coefficient of a window of ``grams`` with the bigrams ``own``; null if no window of up to
-    ``span`` bigrams has ``low`` of them."""
+    ``span`` bigrams has ``low`` of them and all ``marks``."""
 
     def dice(start: Column, end: Column) -> Column:
         window = F.slice(grams, start, end - start + 1)
-        return 2.0 * F.size(F.array_intersect(window, own)) / (F.size(own) + F.size(F.array_distinct(window)))
+        found = 2.0 * F.size(F.array_intersect(window, own)) / (F.size(own) + F.size(F.array_distinct(window)))
+        return F.when(F.size(F.array_except(marks, window)) == 0, found)
 
     def best(hits: Column) -> Column:
         return F.array_max(
@@ -166,7 +250,8 @@ def best_window(grams: Column, own: Column, low: Column, span: Column) -> Column
                 F.transform(
                     hits,
                     lambda start, i: F.transform(
-                        F.filter(F.slice(hits, i + low, F.size(hits)), lambda end: end < start + span),
+                        # places increase, so the window's other hits are among the next ``span``
+                        F.filter(F.slice(hits, i + low, span), lambda end: end < start + span),
                         lambda end: dice(start, end),
                     ),
                 )
@@ -186,17 +271,17 @@ def windows(likely: DataFrame, templates: list[tuple[str, str]], least: float) -
         words = normal_words(body)
         own = sorted(bigrams_of(words))
         low = math.ceil(len(own) * least / (2 - least) - 1e-9)
-        rows.append((number, name, own, low, math.floor((len(words) - 1) * (2 - least) / least + 1e-9)))
+        rows.append((number, name, own, marks_of(name, body), low, math.floor((len(words) - 1) * (2 - least) / least + 1e-9)))
     # bounded by the templates, whatever the data
     known = F.broadcast(
-        likely.sparkSession.createDataFrame(rows, "template int, license string, own array<string>, low int, span int")
+        likely.sparkSession.createDataFrame(rows, "template int, license string, own array<string>, marks array<string>, low int, span int")
     )
     texts = likely.withColumn("unit", normalised(F.col("text"))).filter(F.instr("unit", " ") > 0)
     tried = texts.select("doc_id", bigrams_in_order(F.col("unit")).alias("grams"), F.explode("tried").alias("template"))
     return (
         tried.join(known, "template")
-        .filter(F.size(F.array_intersect("grams", "own")) >= F.col("low"))
-        .select("doc_id", "license", best_window(*map(F.col, ("grams", "own", "low", "span"))).alias("dice"))
+        .filter((F.size(F.array_intersect("grams", "own")) >= F.col("low")) & (F.size(F.array_except("marks", "grams")) == 0))
+        .select("doc_id", "license", best_window(*map(F.col, ("grams", "own", "marks", "low", "span"))).alias("dice"))
         .groupBy("doc_id", "license")
         .agg(F.max("dice").alias("dice"))
         .filter(F.col("dice") >= least - 1e-12)
@@ -209,26 +294,32 @@ def scan(
     """``(doc_id, license, dice, level, n_lines)``, a row per document and licence found: the best coefficient, the
     finest level that reaches it ("window" if no unit does), and in how many lines the licence stands."""
     spark = docs.sparkSession
-    tests = may_match(F.lower("text"), templates, least)
-    tried = F.array_compact(F.array(*[F.when(test, F.lit(number)) for number, test in enumerate(tests)]))
-    likely = docs.select("doc_id", "text").filter(functools.reduce(operator.or_, tests)).withColumn("tried", tried)
+    # bound as the only element of an array, so that a text is lowered once
+    tests = may_match("t", templates, least)
+    some = F.expr(f"exists(array(lower(text)), t -> {' OR '.join(tests)})")
+    numbers = ", ".join(f"CASE WHEN {test} THEN {number} END" for number, test in enumerate(tests))
+    tried = F.expr(f"transform(array(lower(text)), t -> array_compact(array({numbers})))[0]")
+    # written, as both ways of looking at the few likely texts start here
+    likely = stored(docs.select("doc_id", "text").filter(some).withColumn("tried", tried), "likely")
     rows = []
     for number, (name, body) in enumerate(templates):
         own = bigrams_of(normal_words(body))
         low = math.ceil(len(own) * least / (2 - least) - 1e-9)
         high = math.floor(len(own) * (2 - least) / least + 1e-9)
-        rows += [(number, name, b, len(own), low, high) for b in sorted(own)]
+        marks = marks_of(name, body)
+        rows += [(number, name, b, len(own), low, high, b in marks, len(marks)) for b in sorted(own)]
     # bounded by the templates, whatever the data
     known = F.broadcast(
-        spark.createDataFrame(rows, "template int, license string, bigram string, m int, low int, high int")
+        spark.createDataFrame(rows, "template int, license string, bigram string, m int, low int, high int, mark boolean, marks int")
     )
     found = units(likely.select("doc_id", "text")).withColumn("bigrams", bigrams(F.col("unit"))).withColumn("u", F.size("bigrams"))
     shared = (
         found.select("doc_id", "level", "unit", "times", "u", F.explode("bigrams").alias("bigram"))
         .join(known, "bigram")
         .filter(F.col("u").between(F.col("low"), F.col("high")))
-        .groupBy("doc_id", "level", "unit", "times", "u", "template", "license", "m")
-        .agg(F.count("*").alias("c"))
+        .groupBy("doc_id", "level", "unit", "times", "u", "template", "license", "m", "marks")
+        .agg(F.count("*").alias("c"), F.count_if("mark").alias("marked"))
+        .filter("marked = marks")
         .withColumn("dice", 2.0 * F.col("c") / (F.col("m") + F.col("u")))
         .filter(F.col("dice") >= least - 1e-12)
     )
@@ -254,9 +345,12 @@ def _quoted(text: str) -> str:
 
 def scan_sql(templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST_DICE) -> str:
     """The same result as DuckDB SQL, by comparing every unit with every template that shares a bigram."""
-    values = ",\n    ".join(f"({k}, {_quoted(n)}, {_quoted(b)})" for k, (n, b) in enumerate(templates))
+    values = ",\n    ".join(
+        f"({k}, {_quoted(n)}, {_quoted(b)}, [{', '.join(map(_quoted, marks_of(n, b)))}]::VARCHAR[])"
+        for k, (n, b) in enumerate(templates)
+    )
     return rf"""
-WITH templates(template, license, body) AS (
+WITH templates(template, license, body, marks) AS (
   VALUES
     {values}
 ), cut AS (
@@ -278,21 +372,21 @@ WITH templates(template, license, body) AS (
          list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS bigrams
   FROM units
 ), template_words AS (
-  SELECT template, license,
+  SELECT template, license, marks,
          string_split(trim(regexp_replace(lower(body), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS words
   FROM templates
 ), template_grams AS (
-  SELECT template, license,
+  SELECT template, license, marks,
          list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS bigrams
   FROM template_words
 ), known AS (
-  SELECT template, license, len(bigrams) AS m, unnest(bigrams) AS bigram FROM template_grams
+  SELECT template, license, marks, len(bigrams) AS m, unnest(bigrams) AS bigram FROM template_grams
 ), shared AS (
   SELECT g.doc_id, g.level, g.fine, g.unit, g.times, k.license, k.template,
          2.0::DOUBLE * count(*) / (k.m + g.u) AS dice
   FROM (SELECT *, len(bigrams) AS u, unnest(bigrams) AS bigram FROM grams) g JOIN known k USING (bigram)
-  GROUP BY g.doc_id, g.level, g.fine, g.unit, g.times, g.u, k.license, k.template, k.m
-  HAVING dice >= {least} - 1e-12
+  GROUP BY g.doc_id, g.level, g.fine, g.unit, g.times, g.u, k.license, k.template, k.m, k.marks
+  HAVING dice >= {least} - 1e-12 AND count(*) FILTER (WHERE list_contains(k.marks, k.bigram)) = len(k.marks)
 ), best AS (
   SELECT doc_id, level, fine, unit, times, license, max(dice) AS dice FROM shared GROUP BY ALL
 )
