@@ -13,10 +13,13 @@ to the shingles plus k log k, not to their product.
 
 Documents of equal weighted sets form one node. Nodes that share a band of the signature
 meet in a bucket. A bucket is not expanded into pairs: its members are compared with one
-central member, the pivot, and links are contracted into components; of buckets whose members
-are then in several components, pairs across components are compared, each in its first bucket only. Before that, pairs whose signatures differ in more coordinates than
-pairs at the threshold do (by 2.6 standard deviations, which 1 in 200 such pairs and 1 in 2,000
-of those at 0.82 exceed) are left out, inside the join. Every comparison that decides is exact, on the whole weighted sets.
+central member, the pivot, and links are contracted into components. Buckets whose members are then
+in several components are read once more, in blocks of ``BLOCK`` members: a task holds two blocks
+with their sets and links what belongs together across components, the likeliest first, each pair in
+its first bucket only and none within what is linked by then. There, pairs whose signatures differ
+in more coordinates than pairs at the threshold do by five standard deviations (1 in a million such
+pairs) are left out, and pairs too different in weight to reach it. Every comparison that decides is
+exact, on the whole weighted sets; no pair becomes a row before it is a link.
 
 Defined cases: a text of one to four words is one shingle; a null text or one without words has
 no near-duplicates. The document kept is that with the smallest id (null first, then the
@@ -44,10 +47,11 @@ BANDS = 27
 ROWS = 7
 #: Coordinates of a signature; the few that fill no band serve the sketch only.
 COORDINATES = 192
+#: Members and bytes of their sets that a task takes from a bucket at once.
+BLOCK, BLOCK_BYTES = 256, 8_000_000
 #: Pivots that a node is compared with: those it shares most buckets with.
 PIVOTS_PER_NODE = 3
 
-_SKETCH = [f"s{i}" for i in range(COORDINATES // 16)]
 _U = np.uint64
 _ODD = _U(0x9E3779B97F4A7C15)
 #: Darts thrown at once for all elements, at most (but one for each).
@@ -148,18 +152,7 @@ def sketch(sign: np.ndarray) -> np.ndarray:
 def most_different(least: float, k: int = COORDINATES) -> int:
     """In how many of ``k`` four-bit coordinates a pair at the threshold may differ."""
     differ = (1.0 - least) * 15 / 16
-    return math.floor(k * differ + 2.6 * math.sqrt(k * differ * (1 - differ)))
-
-
-def _alike(one: list[Column], two: list[Column], least: float) -> Column:
-    """Whether two sketches differ in few enough coordinates, in plain integer arithmetic."""
-    total = F.lit(0)
-    for a, b in zip(one, two, strict=True):
-        x = a.bitwiseXOR(b)
-        for shift in (1, 2):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-        total = total + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
-    return total <= most_different(least)
+    return math.floor(k * differ + 5 * math.sqrt(k * differ * (1 - differ)))
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -257,22 +250,20 @@ def _verified(pairs: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
     return joined.mapInArrow(compare, "a long, b long")
 
 
-def _pivot_pairs(members: DataFrame, per_node: int, least: float) -> DataFrame:
-    """From ``(bucket, node)`` with sketches: each node with the pivots of its buckets, those first that it
-    meets in most buckets.
+def _pivot_pairs(members: DataFrame, per_node: int) -> DataFrame:
+    """From ``(bucket, node)``: each node with the pivots of its buckets, those first that it meets in most buckets.
 
     The pivot is a central member: its buckets hold many nodes, as a text from which the others were
     copied has. Sizes and pivots are found with map-side combining.
     """
     sizes = members.groupBy("bucket").agg(F.count("*").alias("size"))
-    central = members.select("bucket", "node").join(sizes, "bucket").groupBy("node").agg(F.sum("size").alias("weight"))
+    central = members.join(sizes, "bucket").groupBy("node").agg(F.sum("size").alias("weight"))
     ranked = stored(members.join(central, "node"), "ranked")
-    order = F.struct("weight", (-F.col("node")).alias("less"), "node", *_SKETCH)
+    order = F.struct("weight", (-F.col("node")).alias("less"), "node")
     pivots = ranked.groupBy("bucket").agg(F.max(order).alias("p"))
-    near = _alike([F.col(c) for c in _SKETCH], [F.col(f"p.{c}") for c in _SKETCH], least)
     met = (
         ranked.join(pivots, "bucket")
-        .filter((F.col("node") != F.col("p.node")) & near)
+        .filter(F.col("node") != F.col("p.node"))
         .groupBy("node", F.col("p.node").alias("pivot"))
         .agg(F.count("*").alias("shared"))
     )
@@ -281,21 +272,93 @@ def _pivot_pairs(members: DataFrame, per_node: int, least: float) -> DataFrame:
     return chosen.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
 
 
-def _cross_pairs(open_members: DataFrame, least: float) -> DataFrame:
-    """Pairs in different components that share a bucket, as far as their sketches are alike; a pair is
-    found in the first of its buckets alone."""
-    other = open_members.select(
-        F.col("bucket").alias("obucket"),
-        F.col("node").alias("b"),
-        F.col("label").alias("other"),
-        F.col("bands").alias("obands"),
-        *[F.col(c).alias(f"o{c}") for c in _SKETCH],
+class _Members:
+    """Members of one bucket, of one part or of two, with their sets."""
+
+    def __init__(self, bucket: int, rows: list[dict]) -> None:
+        self.bucket, self.nodes = bucket, [r["node"] for r in rows]
+        self.label = np.array([r["label"] for r in rows])
+        self.part = np.array([r["part"] for r in rows])
+        self.bands = np.array([r["bands"] for r in rows])
+        self.sketch = np.array([r["sketch"] for r in rows], np.int64).view(np.uint64)
+        self.sets = [_read(r["elements"], r["counts"]) for r in rows]
+        self.weight = np.array([int(c.sum()) for _, c in self.sets])
+
+    def candidates(self, i: int, least: float) -> np.ndarray:
+        """Later members that may be near-duplicates of member i, the likeliest first."""
+        later = np.arange(i + 1, len(self.nodes))
+        ok = self.label[later] != self.label[i]
+        if self.part.min() != self.part.max():
+            ok &= self.part[later] != self.part[i]
+        light, heavy = np.minimum(self.weight[later], self.weight[i]), np.maximum(self.weight[later], self.weight[i])
+        later = later[ok & (light >= least * heavy)]
+        shared = self.bands[later] == self.bands[i]
+        later = later[self.bands[i][shared.argmax(1)] == self.bucket]  # the first bucket that both are in
+        differ = self.sketch[later] ^ self.sketch[i]
+        for shift in (1, 2):
+            differ |= differ >> _U(shift)
+        differ = np.bitwise_count(differ & _U(0x1111111111111111)).sum(1)
+        near = differ <= most_different(least)
+        return later[near][np.argsort(differ[near], kind="stable")]
+
+    def links(self, least: float) -> Iterator[tuple[int, int]]:
+        top: dict[int, int] = {}
+
+        def component(label: int) -> int:
+            while label in top:
+                label = top[label]
+            return label
+
+        for i in range(len(self.nodes) - 1):
+            for j in self.candidates(i, least):
+                one, other = component(int(self.label[i])), component(int(self.label[j]))
+                if one != other and similarity(self.sets[i], self.sets[j]) >= least:
+                    top[max(one, other)] = min(one, other)
+                    yield tuple(sorted((self.nodes[i], self.nodes[j])))
+
+
+def _links_across(open_members: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
+    """Links ``(a, b)`` between nodes of different components that share a bucket, as many as connect what
+    belongs together within two parts of a bucket.
+
+    A bucket has as many parts as its members or their bytes ask for; every two of its parts meet in
+    one group of rows, which streams through a task sorted, a group at a time.
+    """
+    size = (F.length("elements") + F.length("counts")).alias("bytes")
+    sized = open_members.join(vectors.select("node", size), "node")
+    parts = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("bytes") / BLOCK_BYTES)).cast("int")
+    load = sized.groupBy("bucket").agg(parts.alias("parts"))
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    placed = (
+        open_members.join(load, "bucket")
+        .withColumn("part", part)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .join(vectors, "node")
+        .select(
+            "bucket", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"),
+            "part", "node", "label", "bands", "sketch", "elements", "counts",
+        )
+        .repartition("bucket", "p", "q")
+        .sortWithinPartitions("bucket", "p", "q", "node")
     )
-    near = _alike([F.col(c) for c in _SKETCH], [F.col(f"o{c}") for c in _SKETCH], least)
-    first = F.element_at(F.array_intersect("bands", "obands"), 1) == F.col("bucket")
-    apart = (F.col("node") < F.col("b")) & (F.col("label") != F.col("other"))
-    both = open_members.join(other, (F.col("bucket") == F.col("obucket")) & apart & near & first)
-    return both.select(F.col("node").alias("a"), "b")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+
+        def found() -> Iterator[pa.RecordBatch]:
+            links = list(_Members(key[0], rows).links(least)) if rows else []
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], names=["a", "b"])
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if (now := (row["bucket"], row["p"], row["q"])) != key:
+                    yield from found()
+                    key, rows = now, []
+                rows.append(row)
+        yield from found()
+
+    return placed.mapInArrow(compare, "a long, b long").distinct()
 
 
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -320,21 +383,19 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 def node_labels(docs: DataFrame, nodes: DataFrame, least: float) -> DataFrame | None:
     """``(node, label)`` of the nodes with a link; None if there is no link."""
-    wide = nodes.select("node", "bands", *[F.col("sketch")[i].alias(c) for i, c in enumerate(_SKETCH)])
-    placed = wide.select(F.explode("bands").alias("bucket"), "node")
+    placed = nodes.select(F.explode("bands").alias("bucket"), "node")
     busy = placed.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo != hi")
-    met = placed.join(busy.select("bucket"), "bucket", "left_semi")
-    members = stored(met.join(wide, "node"), "members")
+    members = stored(placed.join(busy.select("bucket"), "bucket", "left_semi"), "members")
     if members.isEmpty():
         return None
     involved = members.select("node").distinct()
     vectors = _vectors(docs, nodes.join(involved, "node", "left_semi"))
-    pairs = stored(_pivot_pairs(members.drop("bands"), PIVOTS_PER_NODE, least), "pairs")
+    pairs = stored(_pivot_pairs(members, PIVOTS_PER_NODE), "pairs")
     links = stored(_verified(pairs, vectors, least), "verified")
     labels = stored(components(links), "labels")
     # what the pivots left apart
-    rest = _cross_pairs(stored(_open(members, labels), "open"), least)
-    more = stored(_verified(rest.join(pairs, ["a", "b"], "left_anti"), vectors, least), "verified")
+    left = _open(members, labels).join(nodes.select("node", "bands", "sketch"), "node")
+    more = stored(_links_across(stored(left, "open"), vectors, least), "across")
     if more.isEmpty():
         return labels
     return stored(_merged(labels, more), "labels")
