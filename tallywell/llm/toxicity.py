@@ -6,8 +6,9 @@ normalised by the words' own kernels; an insult with gaps or inserted characters
 thus stays near the plain one. The machine uses exp(SHARPNESS * (kernel - 1)), the Gaussian of
 the distance that this kernel defines. Landmarks are words of labelled sentences; a word's
 features are its kernels with the landmarks, whitened by the landmarks' own
-kernel matrix, and a linear machine with squared hinge loss is fitted to the words of the
-sentences labelled toxic and clean.
+kernel matrix, and a linear machine with squared hinge loss is fitted to all words of the
+sentences labelled toxic and clean: the unit of training is a word, weighted by the documents that
+have it in a sentence. So a phrase of words that are each harmless is not recognised.
 
 A sentence counts as its most toxic word. A text's score comes from the words of its sentences
 by a logistic model, fitted on labelled documents that the machine did not see.
@@ -37,7 +38,6 @@ from tallywell.llm.cache import GenerationCache, held
 from tallywell.llm.common import labelled_sample, ship_package
 
 SAMPLE_PER_LABEL = 4000
-VOCABULARY = 40_000
 LANDMARKS = 256
 DECAY = 0.7
 SHARPNESS = 8.0
@@ -77,6 +77,8 @@ def sentences_of(text: str) -> list[str]:
 
 #: Words handled at once: their number, a code and an offset fit into 32 bits.
 _CHUNK = 128
+#: Examples whose features are in double precision at once, while the machine is fitted.
+_EXAMPLES = 8192
 
 
 def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -190,7 +192,7 @@ def fit_machine(words: list[str], toxic: np.ndarray, clean: np.ndarray, landmark
     values, vectors = np.linalg.eigh(gram.astype(np.float64))
     good = values > 1e-5 * values[-1]
     whiten = vectors[:, good] / np.sqrt(values[good])
-    z = np.ones((len(words), int(good.sum()) + 1))
+    z = np.ones((len(words), int(good.sum()) + 1), np.float32)
     for i in range(0, len(words), _CHUNK):
         z[i : i + _CHUNK, :-1] = marks.kernels(words[i : i + _CHUNK]) @ whiten
     # primal Newton steps on the squared hinge; each word is an example of either class, by its counts
@@ -198,9 +200,16 @@ def fit_machine(words: list[str], toxic: np.ndarray, clean: np.ndarray, landmark
     ridge = np.eye(z.shape[1]) * RIDGE
     ridge[-1, -1] = 1e-3
     for _ in range(25):
-        margin = z @ w
-        positive, negative = (margin < 1) * toxic, (margin > -1) * clean
-        fresh = np.linalg.solve(ridge + (z * (positive + negative)[:, None]).T @ z, z.T @ (positive - negative))
+        left, right = ridge.copy(), np.zeros(len(w))
+        for i in range(0, len(words), _EXAMPLES):
+            x = z[i : i + _EXAMPLES].astype(np.float64)
+            margin = x @ w
+            positive, negative = (margin < 1) * toxic[i : i + _EXAMPLES], (margin > -1) * clean[i : i + _EXAMPLES]
+            active = positive + negative > 0
+            x, positive, negative = x[active], positive[active], negative[active]
+            left += (x * (positive + negative)[:, None]).T @ x
+            right += x.T @ (positive - negative)
+        fresh = np.linalg.solve(left, right)
         settled = np.abs(fresh - w).max() < 1e-6
         w = fresh
         if settled:
@@ -299,8 +308,8 @@ def fit(docs: DataFrame, marks: DataFrame, label: str = "toxic", sample: int = S
     """Learn ``label`` (0 or 1) of ``marks (doc_id, label)``, the rows that may be learned from.
 
     About ``sample`` documents per class at most are taken by hash. Their sentences carry the
-    document's label. One half of them gives the words, counted where the sentences are (the
-    ``VOCABULARY`` words in most documents reach the driver), the other half the logistic model.
+    document's label. One half of them gives the words, counted where the sentences are, of which all
+    reach the driver (the sample is their bound), the other half the logistic model.
     """
     ship_package(docs.sparkSession)
     valid = marks.filter(F.col(label).isin(0, 1))
@@ -328,10 +337,9 @@ def fit(docs: DataFrame, marks: DataFrame, label: str = "toxic", sample: int = S
         .mapInPandas(tally, "word string, clean long, toxic long")
         .groupBy("word")
         .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-        .orderBy(F.desc(F.col("clean") + F.col("toxic")), "word")
-        .limit(VOCABULARY)
         .collect()
     )
+    words.sort(key=lambda r: (-r["clean"] - r["toxic"], r["word"]))
     machine = fit_machine(
         [r["word"] for r in words],
         np.array([r["toxic"] for r in words], float),
