@@ -31,12 +31,15 @@ def ship_package(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that setting is missing (a local session) a temporary folder is
-    made and set as the checkpoint folder of the context.
+    Only where that setting is missing in a local session a temporary folder is
+    made and set as the checkpoint folder of the context; a cluster needs the setting.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     known = getattr(spark.sparkContext, "_tallywell_shared", None)
     if known is None:
         known = "file://" + tempfile.mkdtemp(prefix="tallywell-")
