@@ -42,7 +42,8 @@ def library_ids(texts):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_equals_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF_DIR}/documents.parquet'")
+    for table in ("documents", "embeddings", "conversations"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF_DIR}/{table}.parquet'")
     want = con.execute(queries.oracle_sql()[name])
     columns = sorted(d[0] for d in want.description)
     order = [[d[0] for d in want.description].index(c) for c in columns]
