@@ -45,9 +45,9 @@ from tallywell.llm.token_counts import _packed, _unpacked
 
 #: The end token; no word holds white space.
 END = "\n"
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 12_000_000
 #: Characters whose words are numbered at once.
-PORTION = 4_000_000
+PORTION = 6_000_000
 #: Classes (the last ones shared by rare endings), groups of a class, and how many are single words.
 CLASSES, SHARED, GROUPS, OWN = 32, 4, 32, 16
 BUCKETS = 1 << 15
@@ -56,7 +56,7 @@ FEATURES = 3
 LIMIT = 30.0
 ROUNDS, STEP, BATCH = 2, 1.0, 2048
 #: Training tokens per task at least, where there are several tasks: each ends with a weight table.
-TASK_TOKENS = 8_000_000
+TASK_TOKENS = 16_000_000
 #: Rows of a weight table that travel together.
 PIECE = 1024
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
