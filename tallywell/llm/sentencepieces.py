@@ -1,20 +1,26 @@
-"""SentencePiece encoding and decoding as a weighted transducer with tropical shortest paths.
+"""SentencePiece encoding and decoding as weighted transducers with tropical shortest paths.
 
-The model file is read into a transducer. Its states are (place, last piece); an arc reads the
-characters of a piece and writes its id. A path's weight is the sum of its arcs, the best path the least.
-In a BPE model an arc weighs 0 if piece and last piece can stand side by side - if merging their
-joined characters gives just these two again - and infinity otherwise. A sequence of pieces is
-what merging gives for the whole exactly if all neighbours can stand so, so one path of finite
-weight remains. In a unigram model an arc weighs the piece's negated score. Characters that no piece
-covers are written as byte pieces (or as the unknown id).
+The model file is compiled into two transducers, which every input is composed with.
+
+The normaliser is deterministic: its arcs read one character and write the normalised ones, a mark in front
+of the first and for every space; for models that trim, its states hold back the spaces before they are known
+to stand between words.
+
+The pieces' transducer has the states (place, last piece). One arc reads the characters of a piece and writes
+its id; the arcs of byte fallback read one character that is no piece and write its bytes' ids (the unknown id in
+models without them). A path's weight is the sum of its arcs, the best path the least. In a BPE model an arc weighs
+0 if piece and last piece can stand side by side - if merging their joined characters gives just
+these two again - and infinity otherwise. A sequence of pieces is what merging gives for the whole
+exactly if all neighbours can stand so, so one path of finite weight remains; that merging takes the
+leftmost of equal pairs first is part of these weights, so runs of one character need no rule of their own. In a
+unigram model an arc weighs the piece's negated score, a fallback arc more than any piece.
 
-Before, a small transducer normalises: a space in front, white space as the mark that pieces use.
 No piece reaches over a change from other characters to the mark or over a line feed, so these cut
-the input into units, which are composed with the transducer one by one and once per worker
-while they stay in the cache.
+the input into units, which are composed one by one, short ones once per worker while they stay in the cache.
 
-Defined cases: null and empty texts have no ids; decoding no ids gives the empty text. Rows repeat as
-they come. Models with character maps, control pieces within texts or user-defined pieces are refused.
+Defined cases: null and empty texts have no ids; decoding no ids gives the empty text; an empty table has no rows.
+Rows repeat as they come. Texts and units of any length take time and memory in proportion to their length.
+Models with character maps, control pieces within texts or user-defined pieces are refused.
 """
 
 from __future__ import annotations
@@ -39,6 +45,10 @@ MARK = "▁"
 _PIECES, _TRAINER, _NORMALIZER = 1, 2, 3
 _UNIGRAM, _BPE = 1, 2
 _NORMAL, _UNKNOWN, _CONTROL, _USER_DEFINED, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
+#: How much more than the dearest piece a fallback arc weighs in a unigram model (fixed by the public library).
+_FALLBACK_PENALTY = 10.0
+#: Longer units are rare and seldom repeat: they are composed anew each time.
+_CACHED_UNIT = 256
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -66,6 +76,36 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += size
 
 
+class Normaliser:
+    """States START (nothing written yet), WORD and, if spaces are trimmed, GAP (a space held back).
+
+    ``arcs[state]`` holds the next state and what is written, for a space and for (before) any other character.
+    """
+
+    START, WORD, GAP = 0, 1, 2
+
+    def __init__(self, dummy_prefix: bool, trim: bool) -> None:
+        start, word, gap = self.START, self.WORD, self.GAP
+        front = MARK if dummy_prefix else ""
+        if trim:
+            self.space = {start: (start, ""), word: (gap, ""), gap: (gap, "")}
+        else:
+            self.space = {start: (word, front + MARK), word: (word, MARK), gap: (word, MARK)}
+        self.other = {start: (word, front), word: (word, ""), gap: (word, MARK)}
+
+    def compose(self, state: int, unit: str) -> tuple[int, str]:
+        """The state after the unit and what is written for it."""
+        out = []
+        for part in _RUNS.findall(unit):
+            if part == " ":
+                state, written = self.space[state]
+                out.append(written)
+            else:
+                state, written = self.other[state]
+                out.append(written + part)
+        return state, "".join(out)
+
+
 class Transducer:
     def __init__(self, path: str) -> None:
         with open(path, "rb") as file:
@@ -105,8 +145,18 @@ class Transducer:
         if any(MARK in p.lstrip(MARK) or "\n" in p for p in self.ids if len(p) > 1):
             raise ValueError("pieces must not reach over the mark or a line feed")
         self._score = {piece: self.scores[number] for piece, number in self.ids.items()}
+        self._fallback_weight = _FALLBACK_PENALTY - min(self._score.values(), default=0.0)
+        self._written = {piece: struct.pack("<i", number) for piece, number in self.ids.items()}
+        # the arcs by the first three characters they read: how many they read, most first
+        reads: dict[str, set[int]] = {}
+        for piece in self.ids:
+            if len(piece) > 2:
+                reads.setdefault(piece[:3], {1, 2} if piece[:2] in self.ids else {1}).add(len(piece))
+        self._reads = {start: tuple(sorted(sizes, reverse=True)) for start, sizes in reads.items()}
+        self.normaliser = Normaliser(self.dummy_prefix, self.trim)
         self._weights: dict[tuple[str, str], float] = {}
-        self._units: GenerationCache[bytes] = GenerationCache(600_000)
+        # per state before the unit: START, WORD, GAP
+        self._units = [GenerationCache[tuple[int, bytes]](limit) for limit in (50_000, 450_000, 50_000)]
 
     def merged(self, text: str) -> list[str]:
         """What merging the best neighbours, leftmost first among equals, leaves of the characters."""
@@ -129,7 +179,7 @@ class Transducer:
     def weight(self, last: str, piece: str) -> float:
         """The weight of an arc that reads ``piece`` from a state whose last piece is ``last`` ("" at the start)."""
         if not self.bpe:
-            found = -self._score.get(piece, -1e4)
+            found = -self._score[piece] if piece in self._score else self._fallback_weight
         else:
             found = 0.0 if self.merged(last + piece) == ([last, piece] if last else [piece]) else math.inf
         if len(self._weights) >= 1_000_000:
@@ -138,64 +188,79 @@ class Transducer:
         return found
 
     def best_path(self, unit: str) -> list[str]:
-        """The pieces along the best path through the composition of the unit with the transducer.
-
-        Per place one state is kept, the one of least weight: in a BPE model no other has a finite
-        one, in a unigram model the rest of the path does not depend on the last piece. A run of
-        marks alone is written by merging, where equal scores are told apart by place.
-        """
-        if self.bpe and not unit.strip(MARK):
-            return self.merged(unit)
-        ids, arcs, longest = self.ids, self._weights.get, self.longest
-        weights, pieces = [0.0] + [math.inf] * len(unit), [""] + [""] * len(unit)
-        for end in range(1, len(unit) + 1):
-            least = math.inf
-            for start in range(max(0, end - longest), end):
-                piece = unit[start:end]
-                if (piece in ids or end - start == 1) and weights[start] < least:
-                    last = pieces[start]
-                    arc = arcs((last, piece))
-                    total = weights[start] + (self.weight(last, piece) if arc is None else arc)
-                    if total < least:
-                        least, pieces[end] = total, piece
-                        if not total:
-                            break  # no path is lighter
-            weights[end] = least
+        """The arcs, by what they read, of the best path through the composition of the normalised unit."""
+        return self._finite_path(unit) if self.bpe else self._least_path(unit)
+
+    def _sizes(self, unit: str, at: int) -> tuple[int, ...]:
+        """How many characters the arcs at this place may read, most first."""
+        return self._reads.get(unit[at : at + 3]) or (_TWO if unit[at : at + 2] in self.ids else _ONE)
+
+    def _least_path(self, unit: str) -> list[str]:
+        """Place by place. Per place one state is kept, the one of least weight: arcs do not depend on the last piece."""
+        weights, pieces = [0.0] + [math.inf] * len(unit), [""] * (len(unit) + 1)
+        for start in range(len(unit)):
+            for size in self._sizes(unit, start):
+                piece = unit[start : start + size]
+                if len(piece) == size and (size == 1 or piece in self.ids):
+                    total = weights[start] + self.weight("", piece)
+                    if total < weights[start + size]:
+                        weights[start + size], pieces[start + size] = total, piece
         out, at = [], len(unit)
         while at:
             out.append(pieces[at])
             at -= len(pieces[at])
         return out[::-1]
 
-    def _unit_ids(self, unit: str) -> bytes:
-        out: list[int] = []
-        for piece in self.best_path(unit):
-            number = self.ids.get(piece)
-            if number is not None:
-                out.append(number)
-            elif self.bytes:
-                out += [self.bytes[b] for b in piece.encode("utf-8", "replace")]
-            else:
-                out.append(self.unknown)
-        return self._units.put(unit, np.array(out, "<i4").tobytes())
+    def _finite_path(self, unit: str) -> list[str]:
+        """Where arcs weigh 0 or infinity, the first finite path found is the least: depth first, longer arcs first.
 
-    def normalised(self, text: str) -> str:
-        if self.trim:
-            text = re.sub(" +", " ", text).strip(" ")
-        if not text:
-            return ""
-        return (MARK if self.dummy_prefix else "") + text.replace(" ", MARK)
+        A place has one last piece on all finite paths to it - what merging leaves of the characters
+        before it ends in that one -, so a place that led nowhere is not entered again, and the
+        search takes time in proportion to the unit.
+        """
+        ids, sizes, arcs = self.ids, self._sizes, self._weights.get
+        total, at, last = len(unit), 0, ""
+        path: list[str] = []
+        dead: set[int] = set()
+        while at < total:
+            for size in sizes(unit, at):
+                piece = unit[at : at + size]
+                if len(piece) < size or (size > 1 and piece not in ids) or at + size in dead:
+                    continue
+                arc = arcs((last, piece))
+                if (self.weight(last, piece) if arc is None else arc) == 0.0:
+                    path.append(piece)
+                    at, last = at + size, piece
+                    break
+            else:
+                dead.add(at)
+                at -= len(path.pop())
+                last = path[-1] if path else ""
+        return path
+
+    def written(self, piece: str) -> bytes:
+        """What the arc that reads ``piece`` writes: its id, or those of the bytes of a character that is no piece."""
+        found = self._written.get(piece)
+        if found is not None:
+            return found
+        if not self.bytes:
+            return struct.pack("<i", self.unknown)
+        return b"".join(struct.pack("<i", self.bytes[b]) for b in piece.encode("utf-8", "replace"))
+
+    def compose(self, state: int, unit: str) -> tuple[int, bytes]:
+        """The normaliser's state after the unit, and the ids along the best path of the composition."""
+        after, normal = self.normaliser.compose(state, unit)
+        found = after, b"".join(map(self.written, self.best_path(normal)))
+        return self._units[state].put(unit, found) if len(unit) <= _CACHED_UNIT else found
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids of the text."""
-        units = _UNITS.findall(self.normalised(text))
-        found = list(map(self._units.new.get, units))
-        if None in found:
-            for i, ids in enumerate(found):
-                if ids is None:
-                    ids = self._units.get(units[i])
-                    found[i] = ids if ids is not None else self._unit_ids(units[i])
-        return b"".join(found)
+        out, state = [], Normaliser.START
+        for unit in _UNITS.findall(text):
+            cache = self._units[state]
+            state, ids = cache.new.get(unit) or cache.get(unit) or self.compose(state, unit)
+            out.append(ids)
+        return b"".join(out)
 
     def decode(self, ids: np.ndarray) -> str:
         """The inverse: the pieces' characters, marks as spaces, byte pieces joined, the first space taken away."""
@@ -206,7 +271,9 @@ class Transducer:
         return raw.decode("utf-8", "replace")
 
 
-_UNITS = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
+_ONE, _TWO = (1,), (2, 1)
+_RUNS = re.compile(" |[^ ]+")
+_UNITS = re.compile(f"\n|[ {MARK}]*[^ {MARK}\n]+|[ {MARK}]+")
 
 
 def transducer(path: str) -> Transducer:
