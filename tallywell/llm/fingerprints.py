@@ -115,14 +115,14 @@ def neighbours(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     step = max(1, len(sample) // ranges)
     starts = [s for s in sample[step::step] if s > least] if least is not None else []
     firsts = [None if nulls else least, *starts]
-    numbers = np.array(starts)
+    numbers = np.array(starts, object if starts and isinstance(starts[0], str) else None)
 
     @F.pandas_udf("struct<own:int,before:int>")
     def place(ids: pd.Series) -> pd.DataFrame:
         known = ids.notna().to_numpy()
         own = np.zeros(len(ids), np.int32)
         if len(numbers) and known.any():
-            own[known] = np.searchsorted(numbers, ids[known].astype("int64").to_numpy(), "right")
+            own[known] = np.searchsorted(numbers, ids[known].to_numpy().astype(numbers.dtype), "right")
         before = pd.Series([None] * len(ids), dtype="Int32")
         for i, (value, at) in enumerate(zip(ids, own, strict=True)):
             first = firsts[at]
