@@ -49,3 +49,10 @@ def test_series_compare_holds_every_month_against_the_tables(spark, orders):
         else:
             assert (r["got"], r["delta"], r["mismatch"]) == (value, -shift, shift > 0)
     assert spark_rows(df) == sql_rows(connect(orders), oracle.oracle_sql()["series_compare"])[1]
+
+
+def test_series_summary_counts_every_month(spark, orders):
+    df = catalog.queries()["series_compare_summary"](spark, orders)
+    row = df.first()
+    assert (row["compared"], row["mismatches"], row["max_abs_delta"], row["overall_match"]) == (48, 2, 1.0, False)
+    assert spark_rows(df) == sql_rows(connect(orders), oracle.oracle_sql()["series_compare_summary"])[1]
