@@ -56,3 +56,21 @@ def test_series_summary_counts_every_month(spark, orders):
     row = df.first()
     assert (row["compared"], row["mismatches"], row["max_abs_delta"], row["overall_match"]) == (48, 2, 1.0, False)
     assert spark_rows(df) == sql_rows(connect(orders), oracle.oracle_sql()["series_compare_summary"])[1]
+
+
+def test_histogram_compare_takes_its_target_from_the_events(spark, tmp_path):
+    """Seconds are squares of the values. By the cutoff: 5 of 10 below a minute, 4 of 1-5 and 1 of 5-10 minutes."""
+    early, late = "2024-01-20 06:59:59", "2024-01-20 07:00:00"
+    seconds = [(1.0, early)] * 2 + [(9.0, early)] * 3 + [(100.0, early)] * 4 + [(400.0, early)]
+    seconds += [(400.0, late)] * 2 + [(7200.0, late)] * 6
+    rows = [(i, ts, 1, "click", sec**0.5, None) for i, (sec, ts) in enumerate(seconds)]
+    rows.append((99, early, 1, "view", 10.0, None))  # another source
+    write(tmp_path, "events", "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type VARCHAR, value DOUBLE, props VARCHAR", rows)
+    df = catalog.queries()["histogram_compare"](spark, str(tmp_path))
+    # Ours are all 16 of at least two seconds; a bin that only they have is not asked for.
+    assert [(r["bin"], r["got"], r["target"], r["delta"], r["mismatch"]) for r in df.collect()] == [
+        ("0-1m", 0.1875, 0.5, -0.3125, True),
+        ("1-5m", 0.25, 0.4, -0.15, True),
+        ("5-10m", 0.1875, 0.1, 0.0875, True),
+    ]
+    assert spark_rows(df) == sql_rows(connect(str(tmp_path)), oracle.oracle_sql()["histogram_compare"])[1]
